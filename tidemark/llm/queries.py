@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 from .dedup import OP8_SQL, op8_exact_dedup
+from .packing import op7_packing
+from .sharding import op3_sharding
+from .token_counts import op9_token_counts
 
 QUERIES = {
+    "op3_sharding": op3_sharding,
+    "op7_packing": op7_packing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_token_counts": op9_token_counts,
 }
 ORACLES = {
     "op8_exact_dedup": OP8_SQL,
