@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 from .dedup import OP8_SQL, op8_exact_dedup
+from .maxscore import OP10_SQL, op10_maxscore_topk
+from .mixing import OP1_SQL, op1_mixing
 from .packing import op7_packing
 from .sharding import op3_sharding
 from .token_counts import op9_token_counts
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op3_sharding": op3_sharding,
     "op7_packing": op7_packing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_token_counts": op9_token_counts,
+    "op10_maxscore_topk": op10_maxscore_topk,
 }
 ORACLES = {
+    "op1_mixing": OP1_SQL,
     "op8_exact_dedup": OP8_SQL,
+    "op10_maxscore_topk": OP10_SQL,
 }
