@@ -51,6 +51,7 @@ def stream_state(spark: SparkSession, path: str, scratch: Scratch, id_col: str,
         "spark.sql.streaming.stateStore.providerClass": STATE_STORE,
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # small stores would each hold blocks they do not fill
         "spark.sql.streaming.noDataMicroBatches.enabled": "false",
         "spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions"),
     }.items():
