@@ -8,9 +8,11 @@ from .mixing import OP1_SQL, op1_mixing
 from .packing import op7_packing
 from .sharding import op3_sharding
 from .token_counts import op9_token_counts
+from .toxicity import op2_toxicity
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_toxicity": op2_toxicity,
     "op3_sharding": op3_sharding,
     "op7_packing": op7_packing,
     "op8_exact_dedup": op8_exact_dedup,
