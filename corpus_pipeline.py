@@ -1,13 +1,69 @@
-"""The corpus pipeline: stages that each read what the one before has written."""
+"""The corpus pipeline: toxic documents, copies and near copies go, the rest is mixed and packed.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. All but the last return
+the columns of documents; the last returns the pieces of the packed sequences.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm.dedup import dedup
+from tidemark.llm.jaccard import near_duplicates
+from tidemark.llm.mixing import Mixture, mix_documents
+from tidemark.llm.packing import pack
+from tidemark.llm.shared import Scratch
+from tidemark.llm.token_counts import vocabulary
+from tidemark.llm.toxicity import REJECT, fit, score_toxicity
+
+#: Each document at most once; nine tenths of the tokens, so that only sources above their weight are cut.
+MIXTURE = Mixture(budget_per_mille=900, max_epochs=1)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the rejection score."""
+    scored = score_toxicity(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return scored.filter(F.col("score") < REJECT).select("row.*")
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the one with the largest doc_id."""
+    return dedup(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group at a similarity of 0.8 over five-word shingles, the one with the smallest doc_id."""
+    scratch = Scratch(spark, "near-copies")
+    groups = near_duplicates(docs)
+    gone = scratch.table(groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "gone")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A share of each source by the weights of its domain, language and name."""
+    return mix_documents(docs, MIXTURE)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset of every piece."""
+    return pack(docs, 2048, *vocabulary()).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("near_duplicates", drop_near_copies),
+    ("mixing", mix),
+    ("packing", pack_sequences),
+]
+#: Tokens are not SQL's to count: the pipeline is tested against brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = scratch.table(stage(spark, docs, sf_dir), name)
     return docs

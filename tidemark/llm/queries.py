@@ -5,6 +5,7 @@ from __future__ import annotations
 from .dedup import OP8_SQL, op8_exact_dedup
 from .jaccard import op4_jaccard_join
 from .katz import op6_katz
+from .licences import op5_licences
 from .maxscore import OP10_SQL, op10_maxscore_topk
 from .mixing import OP1_SQL, op1_mixing
 from .packing import op7_packing
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_sharding": op3_sharding,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_licences": op5_licences,
     "op6_katz": op6_katz,
     "op7_packing": op7_packing,
     "op8_exact_dedup": op8_exact_dedup,
