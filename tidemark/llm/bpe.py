@@ -44,7 +44,9 @@ class Merger:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.words = regex.compile(pattern)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.keep, self.known = keep, {}
+        #: A space with white space on both sides: there, pre-tokens may depend on what is beyond the space.
+        self.wide = regex.compile(r"\s \s")
+        self.keep, self.known, self.runs = keep, {}, {}
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 32 | right
@@ -95,25 +97,54 @@ class Merger:
             out += [part] if part in self.special else self.words.findall(part)
         return out
 
-    def learn(self, split: Iterable[list[str]], value) -> dict:
-        """known holds value(ids) for every piece of the texts. It is emptied when it has grown past its bound."""
+    def learn(self, split: Iterable[list[str]], packed: bool) -> dict:
+        """known holds each piece's number of symbols or, packed, their ids as 4 bytes each (little-endian).
+
+        It covers all pieces of the texts given, and is emptied before when it has grown past its bound.
+        """
         if len(self.known) > self.keep:
             self.known = {}
-        fresh = list({p for pieces in split for p in pieces}.difference(self.known))
-        plain = [p for p in fresh if p not in self.special]
+        fresh = set().union(*split).difference(self.known)
+        plain = list(fresh.difference(self.special))
         for i in range(0, len(plain), 50_000):
             part = plain[i : i + 50_000]
             ids, sizes = self.merge([p.encode() for p in part])
-            ends = np.cumsum(sizes).tolist()
-            begin = 0
-            for p, end in zip(part, ends, strict=True):
-                self.known[p] = value(ids[begin:end])
-                begin = end
-        for p in fresh:
-            if p in self.special:
-                self.known[p] = value(np.array([self.special[p]], np.int64))
+            if packed:
+                raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
+                self.known.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+            else:
+                self.known.update(zip(part, sizes.tolist(), strict=True))
+        for p in fresh.intersection(self.special):
+            self.known[p] = np.array([self.special[p]], "<u4").tobytes() if packed else 1
         return self.known
 
+    def encode(self, texts: list[str | None], packed: bool = False) -> list:
+        """Each text's number of symbols, or its ids as 4 bytes each; always in the same mode for one merger.
+
+        Texts are cut before single spaces, where pre-tokens end anyway, and what a run between two spaces
+        gives is kept; only runs that are new are split into pre-tokens. Texts in which a space stands
+        between other white space, or which hold special strings, are split as a whole.
+        """
+        add = b"".join if packed else sum
+        whole = [i for i, t in enumerate(texts) if t and (self.wide.search(t) or any(x in t for x in self.special))]
+        other = set(whole)
+        cut = [t.split(" ") if t and i not in other else [] for i, t in enumerate(texts)]
+        if len(self.runs) > self.keep:
+            self.runs = {}
+        fresh = list(set().union(*(c[1:] for c in cut)).difference(self.runs))
+        first = [c[0] for c in cut if c]
+        split = [self.words.findall(" " + r) for r in fresh]
+        heads = [self.words.findall(r) for r in first]
+        wholes = [self.pieces(texts[i]) for i in whole]
+        known = self.learn([*split, *heads, *wholes], packed).__getitem__
+        self.runs.update(zip(fresh, (add(map(known, s)) for s in split), strict=True))
+        run = self.runs.__getitem__
+        start = iter(heads)
+        out = [add([add(map(known, next(start))), *map(run, c[1:])]) if c else add([]) for c in cut]
+        for i, s in zip(whole, wholes, strict=True):
+            out[i] = add(map(known, s))
+        return out
+
 
 _mergers: dict[tuple, Merger] = {}
 

@@ -68,10 +68,8 @@ def pieces(docs: DataFrame, size: int, path: str, pattern: str, id_col: str, tex
             ids, texts = batch.column(0), batch.column(1)
             row, start, length, crc, total = [], [], [], [], []
             for lo in range(0, len(texts), TEXTS):
-                split = [m.pieces(t) if t else [] for t in texts.slice(lo, TEXTS).to_pylist()]
-                known = m.learn(split, lambda x: x.astype("<u4").tobytes()).__getitem__
-                for i, words in enumerate(split, lo):
-                    packed = b"".join(map(known, words)) + end
+                for i, packed in enumerate(m.encode(texts.slice(lo, TEXTS).to_pylist(), packed=True), lo):
+                    packed += end
                     n = len(packed) // 4
                     for a in range(0, n, size):
                         b = min(a + size, n)

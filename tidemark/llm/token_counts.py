@@ -35,9 +35,7 @@ def with_token_counts(docs: DataFrame, path: str, pattern: str, id_col: str = "d
             texts = batch.column(1)
             counts = np.zeros(len(texts), np.int64)
             for lo in range(0, len(texts), TEXTS):
-                split = [m.pieces(t) if t else [] for t in texts.slice(lo, TEXTS).to_pylist()]
-                known = m.learn(split, len).__getitem__
-                counts[lo : lo + len(split)] = [sum(map(known, pieces)) for pieces in split]
+                counts[lo : lo + TEXTS] = m.encode(texts.slice(lo, TEXTS).to_pylist())
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(counts)], ["id", "n_bytes", "n_tokens"])
 
     n_bytes = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
