@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import bars_queries
+
+QUERIES: dict = {**bars_queries.QUERIES}
+ORACLES: dict = {**bars_queries.ORACLES}
