@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bars_queries
+from . import bars_queries, trade_queries
 
-QUERIES: dict = {**bars_queries.QUERIES}
-ORACLES: dict = {**bars_queries.ORACLES}
+QUERIES: dict = {**bars_queries.QUERIES, **trade_queries.QUERIES}
+ORACLES: dict = {**bars_queries.ORACLES, **trade_queries.ORACLES}
