@@ -41,6 +41,8 @@ class Merger:
         new = np.array([vocab[a + b] for a, b in pairs], np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.new = keys[order], order, new
+        both = np.arange(65536)
+        self.byte_ranks = self.rank(self.first[both >> 8], self.first[both & 255])
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.words = regex.compile(pattern)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -59,10 +61,11 @@ class Merger:
         sym = self.first[np.frombuffer(b"".join(words), np.uint8)]
         seq = np.repeat(np.arange(len(words)), sizes)
         done: list[tuple[np.ndarray, np.ndarray]] = []
+        rank = np.full(len(sym), NONE)
+        if len(sym) > 1:
+            raw = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+            rank[:-1] = np.where(seq[:-1] == seq[1:], self.byte_ranks[raw[:-1] << 8 | raw[1:]], NONE)
         while len(sym):
-            rank = np.full(len(sym), NONE)
-            if len(sym) > 1:
-                rank[:-1] = np.where(seq[:-1] == seq[1:], self.rank(sym[:-1], sym[1:]), NONE)
             starts = np.flatnonzero(np.r_[True, seq[1:] != seq[:-1]])
             lengths = np.diff(np.r_[starts, len(seq)])
             low = np.repeat(np.minimum.reduceat(rank, starts), lengths)
@@ -72,16 +75,22 @@ class Merger:
                 sym, seq, rank, low = sym[still], seq[still], rank[still], low[still]
                 if not len(sym):
                     break
-            hit = rank == low
             # of a run of hits in a row (a a a ...), the 1st, 3rd, 5th ... take effect
-            at = np.flatnonzero(hit)
-            run = np.cumsum(np.r_[True, np.diff(at) > 1]) - 1
-            first = np.flatnonzero(np.r_[True, np.diff(at) > 1])
-            at = at[(np.arange(len(at)) - first[run]) % 2 == 0]
+            at = np.flatnonzero(rank == low)
+            head = np.r_[True, np.diff(at) > 1]
+            at = at[(np.arange(len(at)) - np.flatnonzero(head)[np.cumsum(head) - 1]) % 2 == 0]
             sym[at] = self.new[rank[at]]
             stay = np.ones(len(sym), bool)
             stay[at + 1] = False
-            sym, seq = sym[stay], seq[stay]
+            place = np.cumsum(stay) - 1
+            sym, seq, rank = sym[stay], seq[stay], rank[stay]
+            # only pairs with a new symbol have a new rank
+            fresh = place[at]
+            fresh = np.concatenate([fresh, fresh[fresh > 0] - 1])
+            inner = fresh[fresh + 1 < len(sym)]
+            inner = inner[seq[inner] == seq[inner + 1]]
+            rank[fresh] = NONE
+            rank[inner] = self.rank(sym[inner], sym[inner + 1])
         if not done:
             return np.zeros(0, np.int64), np.zeros(len(words), np.int64)
         sym, seq = (np.concatenate(x) for x in zip(*done, strict=True))
