@@ -4,7 +4,7 @@ Differencing repeatedly takes the two partial partitions with the largest spread
 ordered, the heaviest part of one to the lightest of the other. It runs level by level, so that no task and
 not the driver ever holds all groups: at each level items are dealt into batches by a hash, each batch is
 differenced into parts, and a batch's parts are the next level's items (about one for ``FAN_IN`` items).
-When at most ``TOP`` items are left, one task differences them into the shards. An item that outweighs the
+Some items go on alone: parts of like weight can only be shared out whole, single items level them. When at most ``TOP`` items are left, one task differences them into the shards. An item that outweighs the
 others of its batch keeps a part to itself, so the top level still balances against it.
 """
 
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .shared import Scratch, number_within
 
 BATCH, FAN_IN, TOP = 8192, 64, 16384
+#: One item in so many goes on to the next level alone.
+ALONE = 16
 OVERHEAD = 16
 
 
@@ -75,7 +77,10 @@ def balance(items: DataFrame, shards: int, scratch: Scratch, batch: int = BATCH,
     while (n := level.count()) > top:
         batches = -(-n // batch)
         dealt = level.withColumn("b", F.pmod(F.xxhash64("item", F.lit(len(levels))), F.lit(batches)))
-        done = scratch.table(dealt.groupBy("b").applyInPandas(into_parts(lambda k: max(1, k // fan_in), f"L{len(levels)}:"), schema), f"level{len(levels)}")
+        alone = F.pmod(F.xxhash64("item", F.lit("alone"), F.lit(len(levels))), F.lit(ALONE)) == 0
+        joint = dealt.filter(~alone).groupBy("b").applyInPandas(into_parts(lambda k: max(1, k // fan_in), f"L{len(levels)}:"), schema)
+        single = dealt.filter(alone).select("item", "weight", F.col("item").alias("parent"), F.lit(0).alias("part"))
+        done = scratch.table(joint.unionByName(single), f"level{len(levels)}")
         levels.append(done)
         level = scratch.table(done.groupBy(F.col("parent").alias("item")).agg(F.sum("weight").alias("weight")), f"items{len(levels)}")
     last = level.withColumn("b", F.lit(0).cast("long")).groupBy("b").applyInPandas(into_parts(lambda k: shards, "T:"), schema)

@@ -173,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
     s = settings or Settings()
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & train_row()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.max_examples)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").persist()
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").persist()
     try:
         terms = _choose_terms(sample, s)
         index = Index(terms)
