@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import bars_queries, trade_queries
+from . import bars_queries, studies, trade_queries
 
-QUERIES: dict = {**bars_queries.QUERIES, **trade_queries.QUERIES}
-ORACLES: dict = {**bars_queries.ORACLES, **trade_queries.ORACLES}
+PARTS = (bars_queries, trade_queries, studies)
+QUERIES: dict = {name: f for part in PARTS for name, f in part.QUERIES.items()}
+ORACLES: dict = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
