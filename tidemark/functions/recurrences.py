@@ -45,13 +45,13 @@ def wilder_mean(x: np.ndarray, n: int) -> np.ndarray:
 
 def garch_variance(r: np.ndarray, omega: float, alpha: float, beta: float, start_variance: float, start: int = 0) -> tuple[np.ndarray, float]:
     """Next bar's variance after each bar, and the Gaussian log likelihood of the bars from ``start`` on."""
-    out, v, loglik = np.empty(len(r)), start_variance, 0.0
-    for t, x in enumerate(r):
-        if t >= start:
-            loglik -= 0.5 * (np.log(2 * np.pi) + np.log(v) + x * x / v)
-        v = omega + alpha * x * x + beta * v
-        out[t] = v
-    return out, loglik
+    v, path = start_variance, [start_variance]
+    for x in (omega + alpha * r * r).tolist():
+        v = x + beta * v
+        path.append(v)
+    path = np.array(path)
+    before, later = path[start:-1], r[start:]
+    return path[1:], float(-0.5 * np.sum(np.log(2 * np.pi) + np.log(before) + later * later / before))
 
 
 def hawkes_probability(event: np.ndarray, mu: float, alpha: float, beta: float, h: int) -> np.ndarray:
@@ -65,13 +65,13 @@ def hawkes_probability(event: np.ndarray, mu: float, alpha: float, beta: float,
 
 def hawkes_loglik(times: np.ndarray, end: float, mu: float, alpha: float, beta: float) -> float:
     """Log likelihood of sorted event times on (0, end]; linear in their number."""
-    total, s, last = -mu * end, 0.0, None
-    for x in times:
-        if last is not None:
-            s = (s + 1) * np.exp(-beta * (x - last))
-        total += np.log(mu + alpha * beta * s) - alpha * (1 - np.exp(-beta * (end - x)))
-        last = x
-    return float(total)
+    if not len(times):
+        return -mu * end
+    s, path = 0.0, [0.0]
+    for keep in np.exp(-beta * np.diff(times)).tolist():
+        s = (s + 1) * keep
+        path.append(s)
+    return float(-mu * end + np.sum(np.log(mu + alpha * beta * np.array(path))) - alpha * np.sum(1 - np.exp(-beta * (end - times))))
 
 
 def sticky_weight(raw: np.ndarray, band: float, start: float = 0.0) -> np.ndarray:
