@@ -76,14 +76,14 @@ def greedy(order: np.ndarray, anchors: np.ndarray, states: np.ndarray, groups: i
 
 def nearest(distance: np.ndarray, anchors: np.ndarray, states: np.ndarray, e: Engine) -> list[list[int]]:
     groups = 2 if e.regime else 1
-    head = max(256, 4 * groups * e.k * (2 * e.exclusion + 1))
-    if head < len(distance):
-        some = np.argpartition(distance, head)[:head]
-        # all that tie with the farthest of the head belong to it
-        some = np.flatnonzero(distance <= distance[some].max())
+    head = 16 * groups * e.k
+    while head < len(distance):
+        # all that tie with the farthest of the head belong to it, so the walk is that of a full sort
+        some = np.flatnonzero(distance <= np.partition(distance, head)[head])
         taken = greedy(some[np.lexsort((anchors[some], distance[some]))], anchors, states, groups, e.k, e.exclusion)
         if all(len(t) == e.k for t in taken):
             return taken
+        head *= 8
     return greedy(np.lexsort((anchors, distance)), anchors, states, groups, e.k, e.exclusion)
 
 
