@@ -122,13 +122,3 @@ def markov_high(df: DataFrame, h: int, lookback: int | None = None, state: str =
     q, decay = a / (a + b), 1 - a - b
     powers = F.aggregate(F.sequence(F.lit(1), F.lit(h)), F.lit(0.0), lambda acc, k: acc + F.pow(decay, k))
     return counted.withColumn("pi_high", F.when(a + b > 0, q + (s0 - q) * powers / h).otherwise(s0))
-
-
-def linear_quantile(x: Column, p: float) -> Column:
-    return F.percentile(x, F.lit(p))
-
-
-def drawdown(r: Column) -> Column:
-    """Equity of compounded returns against its running peak; 0 or less."""
-    equity = F.exp(F.sum(F.log1p(r)).over(upto()))
-    return equity

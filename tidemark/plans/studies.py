@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tidemark.functions import inference as I
 from tidemark.functions import losses as L
 from tidemark.functions import windows as W
-from tidemark.functions.fitting import chi2_sf1
 from tidemark.operators import models as M
 from tidemark.operators import trades as B
 from tidemark.operators import volatility as V
@@ -195,7 +194,3 @@ def cumulative_gain(spark, d):
     x = with_ewma(with_ewma(_returns(spark, d), 20, "a"), 80, "b").filter("r <> 0 AND t > 50")
     loss = lambda c: L.qlike(F.col("r") * F.col("r"), F.log(F.col(c) * F.col(c)))
     return x.withColumn("g", loss("b") - loss("a")).select("series_id", "t", F.round(F.sum("g").over(W.upto()), 4).alias("gain"))
-
-
-def kupiec_p(lr: float) -> float:
-    return chi2_sf1(lr)
