@@ -215,6 +215,7 @@ def test_large_buckets_and_passed_over_segments(spark, monkeypatch):
     for small, rounds, slack in ((16, 4, 0), (2, 4, 0), (2, 0, 0), (2, 1, 1000)):
         monkeypatch.setattr(jaccard, "SMALL", small)
         monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+        monkeypatch.setattr(jaccard, "BLOCK", 2 if rounds else 256)
         plain = jaccard._documents
         monkeypatch.setattr(jaccard, "_documents", lambda *a: plain(*a).withColumn("slack", F.col("slack") - slack))  # noqa: B023
         out = jaccard.near_duplicates(df, 3, 80, 100)

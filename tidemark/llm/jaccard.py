@@ -8,12 +8,13 @@ segments, in its own band and as a larger partner of the band below.
 A few segments of each band are also indexed with every one of their shingles left out: sets that differ by
 one shingle there still meet, so such a segment counts twice. That buys the right to pass over as many of the
 costliest segments: empty ones, which would bring all sets together, and those whose content is common and
-leads to unconnected sets. A set may only pass over what its own size and the bought slack allow; the few
-that would have to pass over more are joined exactly in another way, by shared prefixes of hash-ordered sets.
+leads to unconnected sets. A set may only pass over what its own size and the bought slack allow. Those that
+would have to pass over more are held against all of their buckets, block by block; for the very few with too
+many empty segments, there are no buckets, and they are joined by shared prefixes of hash-ordered sets.
 
 A bucket of up to ``SMALL`` sets gives all its pairs. In a larger one only pairs with one set (the hub) are
 verified at first: those that reach the threshold are connected, and only sets outside of the largest part
-become hubs in later rounds. Candidates are verified on the whole sets. Groups are connected components, so
+become hubs in a later round. Candidates are verified on the whole sets. Groups are connected components, so
 copies and near copies of one text never become all their pairs.
 
 Shingles and sets are held as 64-bit hashes of random byte tables (see words).
@@ -34,7 +35,9 @@ from .shared import Scratch
 from .words import distinct_sets, mix, shingles, text_chunks, word_hashes
 
 _U = np.uint64
-SMALL, ROUNDS = 16, 4
+SMALL, ROUNDS = 16, 1
+#: Classes in a block of a large bucket.
+BLOCK = 256
 LARGEST = 1 << 40
 
 
@@ -76,8 +79,10 @@ def sets_of(texts: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.
         yield lo, hi, out, out_rows
 
 
-def signatures(hashes: np.ndarray, rows: np.ndarray, sizes: np.ndarray, bands: Bands, t: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, row, per-row slack that is left). The last bit of a signature tells a spare segment."""
+def signatures(hashes: np.ndarray, rows: np.ndarray, sizes: np.ndarray, bands: Bands, t: dict[str, np.ndarray], seal: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, row, per-row slack that is left). The last bit of a signature tells a spare segment.
+
+    Without ``seal`` only the slack is worked out, from how many shingles the segments hold."""
     n = len(sizes)
     own = np.searchsorted(t["low"], np.maximum(sizes, 1), side="right") - 1
     slack = np.full(n, np.iinfo(np.int64).max)
@@ -96,26 +101,27 @@ def signatures(hashes: np.ndarray, rows: np.ndarray, sizes: np.ndarray, bands: B
         h, r = hashes[at], rows[at]
         salt = mix((group.astype(np.uint64) + _U(1)) * _U(0x9E3779B97F4A7C15))
         place = (mix(h ^ salt[r]) >> _U(16)).astype(np.int64) % m[r]
-        value = mix(h + salt[r])
         slot = base[r] + place
-        total = np.zeros(int(m.sum()), np.uint64)
-        np.add.at(total, slot, value)
-        count = np.bincount(slot, minlength=len(total))
+        count = np.bincount(slot, minlength=int(m.sum()))
         owner = np.repeat(np.arange(n), m)
-        number = np.arange(len(total)) - base[owner]
+        number = np.arange(len(count)) - base[owner]
         is_spare = number < spare[owner]
-        tag = mix(salt[owner] + number.astype(np.uint64) * _U(0xD1342543DE82EF95))
-        seal = lambda x, where: (mix(x ^ tag[where]) & ~_U(1)) | is_spare[where].astype(np.uint64)
-        full = np.flatnonzero(count > 0)
-        sigs.append(seal(total[full], full))
-        sig_rows.append(owner[full])
-        less = np.flatnonzero(is_spare[slot] & (count[slot] > 1))  # with one shingle left out
-        sigs.append(seal(total[slot[less]] - value[less], slot[less]))
-        sig_rows.append(r[less])
+        if seal:
+            value = mix(h + salt[r])
+            total = np.zeros(len(count), np.uint64)
+            np.add.at(total, slot, value)
+            tag = mix(salt[owner] + number.astype(np.uint64) * _U(0xD1342543DE82EF95))
+            sealed = lambda x, where: (mix(x ^ tag[where]) & ~_U(1)) | is_spare[where].astype(np.uint64)  # noqa: B023, E731
+            full = np.flatnonzero(count > 0)
+            sigs.append(sealed(total[full], full))
+            sig_rows.append(owner[full])
+            less = np.flatnonzero(is_spare[slot] & (count[slot] > 1))  # with one shingle left out
+            sigs.append(sealed(total[slot[less]] - value[less], slot[less]))
+            sig_rows.append(r[less])
         passed = np.where(count == 0, 1 + is_spare, np.where(is_spare & (count == 1), 1, 0))
         left = m + spare - 1 - bands.differ(sizes, partner) - np.bincount(owner, weights=passed, minlength=n).astype(np.int64)
         slack = np.where(member, np.minimum(slack, left), slack)
-    return np.concatenate(sigs), np.concatenate(sig_rows), slack
+    return (np.concatenate(sigs), np.concatenate(sig_rows), slack) if seal else (np.zeros(0, np.uint64), np.zeros(0, np.int64), slack)
 
 
 def _documents(docs: DataFrame, k: int, bands: Bands, id_col: str, text_col: str) -> DataFrame:
@@ -126,7 +132,7 @@ def _documents(docs: DataFrame, k: int, bands: Bands, id_col: str, text_col: str
         for batch in batches:
             for lo, hi, h, r in sets_of(batch.column(1), k):
                 sizes = np.bincount(r, minlength=hi - lo)
-                _, _, slack = signatures(h, r, sizes, bands, t)
+                _, _, slack = signatures(h, r, sizes, bands, t, seal=False)
                 cls = pa.array(set_digests(h, r, hi - lo).view(np.int64), mask=sizes == 0)
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(sizes), cls, pa.array(np.minimum(slack, LARGEST))], ["doc_id", "size", "cls", "slack"])
 
@@ -274,14 +280,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         open_rows = scratch.table(_open(large, joined, hubs), f"open-{turn}")
     # what a class would have to pass over, against what it may
     cost = open_rows.groupBy("cls").agg(F.sum(F.lit(1) + F.col("sig").bitwiseAND(1)).alias("cost"))
-    beyond = classes.join(cost, "cls", "left").filter(F.coalesce("cost", F.lit(0)) > F.col("slack")).select("cls")
-    beyond = scratch.table(beyond, "beyond")
+    beyond = scratch.table(classes.join(cost, "cls", "left").filter(F.coalesce("cost", F.lit(0)) > F.col("slack")).select("cls", "slack"), "beyond")
     if not beyond.isEmpty():
-        more = _by_prefix(docs, beyond, k, bands, text_col, joined)
-        pairs = scratch.table(fitting(more), "pairs-prefix")
-        involved = scratch.table(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), "involved-prefix")
-        links = scratch.table(links.unionByName(_verified(pairs, scratch.table(_sets(docs, involved, k, text_col), "sets-prefix"), bands)).distinct(), "links-prefix")
-        joined = scratch.table(components(links, scratch, "joined-prefix"), "joined-at-prefix")
+        more = scratch.table(_in_blocks(open_rows.join(classes.select("cls", "size"), "cls"), beyond, sets, bands, scratch), "links-blocks")
+        short = scratch.table(beyond.filter("slack < 0").select("cls"), "short")
+        if not short.isEmpty():
+            pairs = scratch.table(fitting(_by_prefix(docs, short, k, bands, text_col, joined)), "pairs-prefix")
+            involved = scratch.table(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), "involved-prefix")
+            more = more.unionByName(_verified(pairs, scratch.table(_sets(docs, involved, k, text_col), "sets-prefix"), bands))
+        links = scratch.table(links.unionByName(more).distinct(), "links-all")
+        joined = scratch.table(components(links, scratch, "joined-all"), "joined-at-all")
     named = members.join(joined.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     smallest = named.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = named.join(smallest, "component", "left")
@@ -301,6 +309,82 @@ def _open(large: DataFrame, joined: DataFrame, hubs: DataFrame) -> DataFrame:
     return rows.join(unsettled, "sig", "left_semi")
 
 
+def _in_blocks(rows: DataFrame, beyond: DataFrame, sets: DataFrame, bands: Bands, scratch: Scratch) -> DataFrame:
+    """Links of the given classes within their unsettled buckets, with classes of other components.
+
+    Buckets are ranked by size. Each class brings the ranks of all its buckets, so that a pair can be told to
+    belong to the largest bucket that it shares, without a list of pairs. Such pairs are then verified in
+    blocks of about ``BLOCK`` by ``BLOCK`` classes, to which every set is sent once.
+    """
+    ranked = rows.join(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n")), "sig").withColumn("rank", F.struct(-F.col("n"), "sig"))
+    lists = ranked.groupBy("cls").agg(F.array_sort(F.collect_list("rank")).alias("ranks"))  # a set's own segments bound them
+    lists = lists.select("cls", F.transform("ranks", lambda r: F.xxhash64(r)).alias("ranks"))
+    inside = ranked.select("sig", "n", "cls", "component", "size", F.xxhash64("rank").alias("rank")).join(lists, "cls").join(beyond.select("cls", F.lit(True).alias("asks")), "cls", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("cls"), parts).cast("int")
+    every = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.struct(F.least(own, i).alias("p"), F.greatest(own, i).alias("q")))
+    dealt = inside.withColumn("own", own).withColumn("at", F.explode(every)).select("sig", F.col("at.p").alias("p"), F.col("at.q").alias("q"), "own", "cls", "component", "size", "asks", "rank", "ranks")
+
+    def choose(key: tuple, table: pa.Table) -> pa.Table:
+        cls, comp, size, asks, own = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("cls", "component", "size", "asks", "own"))
+        lists = table.column("ranks").combine_chunks()
+        lengths = np.diff(lists.offsets.to_numpy())
+        member, bucket = np.repeat(np.arange(len(cls)), lengths), lists.flatten().to_numpy()
+        place = np.arange(len(bucket)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        # all members hold this bucket; only those before it in their lists (larger ones) matter
+        same = bucket == table.column("rank")[0].as_py()
+        here = np.zeros(len(cls), np.int64)
+        here[member[same]] = place[same]
+        larger = place < here[member]
+        _, column = np.unique(bucket[larger], return_inverse=True)
+        holds = np.zeros((len(cls), int(column.max(initial=-1)) + 1), np.float32)
+        holds[member[larger], column] = 1
+        who = np.flatnonzero(asks)
+        p, q = key[1].as_py(), key[2].as_py()
+        left, right = [], []
+        for i in who:
+            ok = (comp != comp[i]) & (np.minimum(size, size[i]) * bands.den >= np.maximum(size, size[i]) * bands.num)
+            # within a block of two parts, only pairs across them; of two that ask, once
+            ok &= (own != own[i]) if p != q else True
+            ok &= ~asks | (cls > cls[i])
+            ok &= ~(holds @ holds[i] > 0)
+            j = np.flatnonzero(ok)
+            left.append(np.full(len(j), cls[i]))
+            right.append(cls[j])
+        a, b = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (left, right))
+        if not len(a):
+            return pa.table({"sig": pa.array([], pa.int64()), "p": pa.array([], pa.int32()), "q": pa.array([], pa.int32()), "a": pa.array([], pa.list_(pa.int64())), "b": pa.array([], pa.list_(pa.int64()))})
+        return pa.table({"sig": pa.array([key[0].as_py()], pa.int64()), "p": pa.array([p], pa.int32()), "q": pa.array([q], pa.int32()), "a": pa.array([a], pa.list_(pa.int64())), "b": pa.array([b], pa.list_(pa.int64()))})
+
+    pairs = scratch.table(dealt.groupBy("sig", "p", "q").applyInArrow(choose, "sig long, p int, q int, a array<long>, b array<long>"), "pairs-blocks")
+    need = pairs.select("sig", "p", "q", F.explode(F.array_distinct(F.concat("a", "b"))).alias("cls")).join(sets, "cls")
+    need = need.toDF(*need.columns)  # both sides come from one table
+
+    def verify(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = (left.column(c).combine_chunks().flatten().to_numpy() for c in ("a", "b"))
+        cls = right.column("cls").to_numpy()
+        lists = right.column("shingles").combine_chunks()
+        lengths = np.diff(lists.offsets.to_numpy())
+        _, number = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        ends = np.cumsum(lengths)
+        order = np.argsort(cls)
+        at_a, at_b = (order[np.searchsorted(cls[order], x)] for x in (a, b))
+        flags, found = np.zeros(number.max(initial=0) + 1, np.int64), np.zeros(len(a), bool)
+        by = np.argsort(at_a, kind="stable")
+        for group in np.split(by, np.flatnonzero(np.diff(at_a[by])) + 1):
+            if not len(group):
+                continue
+            i = at_a[group[0]]
+            own = number[ends[i] - lengths[i] : ends[i]]
+            flags[own] = 1
+            shared = np.add.reduceat(flags[number], ends - lengths)[at_b[group]]
+            flags[own] = 0
+            found[group] = shared * bands.den >= (lengths[i] + lengths[at_b[group]] - shared) * bands.num
+        return pa.table({"a": a[found], "b": b[found]})
+
+    return pairs.groupBy("sig", "p", "q").cogroup(need.groupBy("sig", "p", "q")).applyInArrow(verify, "a long, b long")
+
+
 def _by_prefix(docs: DataFrame, beyond: DataFrame, k: int, bands: Bands, text_col: str, joined: DataFrame) -> DataFrame:
     """Pairs of the given classes with any other that share a shingle among the first of both (by hash): as
     many that what is left could not reach the threshold alone. Only classes beyond their slack come here."""
@@ -316,7 +400,6 @@ def _by_prefix(docs: DataFrame, beyond: DataFrame, k: int, bands: Bands, text_co
 
     prefixes = docs.select(F.col(text_col).alias("text")).mapInArrow(read, "shingle long, cls long")
     part = joined.select(F.col("node").alias("cls"), "component")
-    # the given classes' prefixes are few; all others are reduced to them before any shuffle if they are
     asked = prefixes.join(beyond, "cls", "left_semi").distinct().withColumnRenamed("cls", "c")
     pairs = prefixes.join(asked, "shingle").filter("cls <> c").select("cls", "c").distinct()
     inside = pairs.join(part, "cls", "left").join(part.select(F.col("cls").alias("c"), F.col("component").alias("other")), "c", "left")
