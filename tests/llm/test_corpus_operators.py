@@ -352,3 +352,34 @@ def test_words_of_bytes():
     assert [len(seen[i]) for i in range(6)] == [len(brute.words(t)) for t in texts]
     one = lambda t: int(words.word_hashes(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0][0])
     assert seen[0][0] == one("a") and seen[0][2] == one("c") and seen[3][0] != seen[3][1] and seen[4][0] == seen[4][1]
+
+
+def test_katz_over_all_words_and_pairs(spark):
+    """By default nothing is merged or cut: every word is an entry, pairs seen once count; the cache changes nothing."""
+    rng = random.Random(16)
+    names = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(rng.choices(names, weights=[1 / (1 + j) for j in range(300)], k=30))) for i in range(120)] + [(900 + i, f"w1 unseen{i} w250 w2") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    train = [t for d, t in rows if zlib.crc32(str(d).encode()) % 10 != 0]
+    single = Counter(w for t in train for w in [*t.split(), "</s>"])
+    total, once = sum(single.values()), sum(v == 1 for v in single.values())
+    unseen = once / (total + once)
+    pairs, seen = Counter(), Counter()
+    for t in train:
+        for h, w in zip(["<s>", *t.split()], [*t.split(), "</s>"]):
+            pairs[h, w] += 1
+            seen[h] += 1
+    d = katz.discounts(Counter(pairs.values()), 0)
+    alone = lambda w: single[w] / total * (1 - unseen) if w in single else unseen
+    weight = {}
+    for h in seen:
+        after = {w: c for (g, w), c in pairs.items() if g == h}
+        left = 1 - sum(d[min(c, 6)] * c for c in after.values()) / seen[h]
+        weight[h] = left / (1 - sum(alone(w) for w in after)) if left > 1e-12 else 1e-99
+    want = {}
+    for doc, t in rows:
+        steps = zip(["<s>", *t.split()], [*t.split(), "</s>"])
+        want[doc] = sum(math.log10(d[min(pairs[h, w], 6)] * pairs[h, w] / seen[h] if (h, w) in pairs else weight.get(h, 1.0) * alone(w)) for h, w in steps)
+    for settings in (None, katz.Settings(local=7, cutoff=0)):
+        got = {r.doc_id: r.score for r in katz.score_texts(df, settings=settings).collect()}
+        assert all(abs(got[i] - want[i]) < 1e-6 for i in want), settings
