@@ -347,3 +347,14 @@ def analogue_embeddings(spark, d):
     df = spark.read.parquet(f"{d}/embeddings.parquet").filter("vec_id < 600").select(F.lit("v").alias("series_id"), F.col("vec_id").alias("t"), F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("emb"), F.array(F.col("label").cast("double")).alias("y"))
     made = A.Analogue(k=5, k_min=2, horizon=10, exclusion=3, warmup=100).forecast(df, 8, 1)
     return made.select("t", *six("mean_0", "se_0"), "n_used")
+
+
+
+@query()
+def analogue_embeddings_all(spark, d):
+    """All vectors, all 64 components and the regime label % 2; its SQL would take too long, it is tested against brute force."""
+    df = spark.read.parquet(f"{d}/embeddings.parquet").select(
+        F.lit("v").alias("series_id"), F.col("vec_id").alias("t"), F.transform("embedding", lambda x: x.cast("double")).alias("emb"), F.array(F.col("label").cast("double")).alias("y"), (F.col("label") % 2).alias("state")
+    )
+    made = A.Analogue(k=5, k_min=2, horizon=10, exclusion=3, warmup=100).forecast(df, 64, 1, state="state")
+    return made.select("t", *six("mean_0", "se_0"), "n_used")
