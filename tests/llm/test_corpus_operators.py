@@ -383,3 +383,22 @@ def test_katz_over_all_words_and_pairs(spark):
     for settings in (None, katz.Settings(local=7, cutoff=0)):
         got = {r.doc_id: r.score for r in katz.score_texts(df, settings=settings).collect()}
         assert all(abs(got[i] - want[i]) < 1e-6 for i in want), settings
+
+
+def test_licences_anywhere_in_a_text(spark):
+    """Whole texts, flattened or wrapped, and notices inside longer lines are found; every window is compared."""
+    whole = {n: x[-1] for n, x in licences.known_templates().items() if n in ("MIT", "Apache-2.0", "GPL-3.0", "ISC", "BSD-3-Clause", "Unlicense")}
+    prose = "ba de fi go lu me ni po ra su " * 20
+    rows = [(i, f"{prose}{' '.join(t.split())} {prose}") for i, t in enumerate(whole.values())]
+    wrapped = "x = 1\n# This program is free software: you can redistribute it\n# and/or modify it under the terms of the GNU General Public\n# License as published by the Free Software Foundation, either\n# version 3 of the License, or (at your option) any later version.\ny = 2\n"
+    rows += [(50, prose + wrapped + prose), (51, f"{prose} Released under the MIT License. See the project page for details."), (52, prose), (53, licences.PARAGRAPHS["MIT"][1] + "\n\n" + prose)]
+    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(n in got[i].licences and got[i].dice > 0.999 for i, n in enumerate(whole))
+    assert (got[50].licence, got[51].licence, got[52].licence, got[53].licence) == ("GPL-3.0", "MIT", None, "MIT")
+    m = licences.Matcher({"a": ["one two three one two four"]}, 0.5)
+    rng = random.Random(17)
+    for _ in range(200):
+        words = rng.choices(["one", "two", "three", "four"], k=rng.randint(0, 15))
+        parts = [words[i : i + 6] for i in range(max(1, len(words) - 5))]
+        best = max(brute.dice(licences.bigrams(" ".join(p)), m.sets[0][1]) for p in [*parts, words])
+        assert m.text(" ".join(words)) == ([(best, "a")] if best >= 0.5 else [])

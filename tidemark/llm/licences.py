@@ -1,9 +1,10 @@
-"""Licence scans: Dice coefficient over word bigrams against licence templates.
+"""Licence scans: Dice coefficient over word bigrams against licence notices and whole licence texts.
 
-A text's units are the text as a whole, its paragraphs (between blank lines) and its lines. A unit is
-normalised (lower case, runs of anything but letters and digits become one space) and compared with those
-templates whose size allows the threshold: Dice of sets of a and b bigrams is at most 2 min(a, b) / (a + b).
-A unit that shares no bigram with any template is passed over after one look-up for each of its bigrams.
+A text's units are the text as a whole, its paragraphs (between blank lines), its lines, and for each template
+every window of as many words as the template has, wherever it starts. A unit is normalised (lower case, runs of
+anything but letters and digits become one space) and compared with those templates whose size allows the
+threshold: Dice of sets of a and b bigrams is at most 2 min(a, b) / (a + b). A text is passed over at once if it
+does not hold enough of any template's bigrams, wherever they are: a match needs t b / (2 - t) of them.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Mapping
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,12 +47,33 @@ TEMPLATES: dict[str, list[str]] = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 
+#: Besides the notices above: paragraphs that licences are told by.
+PARAGRAPHS: dict[str, list[str]] = {
+    "MIT": [
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ],
+}
+
+
+def known_templates() -> dict[str, list[str]]:
+    """Notices, paragraphs and the whole texts of ``licence_texts``, by licence. Read on the driver."""
+    out = {name: [*texts, *PARAGRAPHS.get(name, [])] for name, texts in TEMPLATES.items()}
+    for path in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")):
+        out.setdefault(path.stem, []).append(path.read_text(encoding="utf-8"))
+    return out
+
+
 _OTHER = re.compile(r"[\W_]+")
 _BLANK = re.compile(r"\n[^\S\n]*\n")
 
 
+def words_of(unit: str) -> list[str]:
+    return _OTHER.sub(" ", unit.lower()).split()
+
+
 def bigrams(unit: str) -> set[tuple[str, str]]:
-    words = _OTHER.sub(" ", unit.lower()).split()
+    words = words_of(unit)
     return set(zip(words, words[1:], strict=False))
 
 
@@ -73,10 +96,14 @@ class Matcher:
         for i, (_, s) in enumerate(self.sets):
             for b in s:
                 self.holds[b].append(i)
+        self.known = set(self.holds)
+        self.words = [len(words_of(t)) for texts in templates.values() for t in texts]
         sizes = [len(s) for _, s in self.sets]
         # 2 min / (a + b) >= t bounds the larger by (2 - t) / t of the smaller
         self.ratio = (2 - threshold) / threshold
         self.low, self.high = min(sizes) / self.ratio, max(sizes) * self.ratio
+        # 2 n / (a + b) >= t with a >= n
+        self.needed = [b / self.ratio - 1e-9 for b in sizes]
 
     def unit(self, unit: str) -> list[tuple[float, str]]:
         if len(unit) < 2 * self.low:
@@ -88,12 +115,44 @@ class Matcher:
         found = ((2 * n / (len(own) + len(self.sets[i][1])), self.sets[i][0]) for i, n in shared.items())
         return [x for x in found if x[0] >= self.threshold]
 
+    def windows(self, pairs: list[tuple[str, str]], i: int) -> float:
+        """The best Dice of template i with as many words as it has, at any start; 0 if none shares enough."""
+        wanted, size = self.sets[i][1], self.words[i] - 1
+        if len(pairs) <= size:
+            own = set(pairs)
+            return 2 * len(own & wanted) / (len(own) + len(wanted))
+        inside: Counter = Counter()
+        shared, best = 0, 0.0
+        for at, pair in enumerate(pairs):
+            inside[pair] += 1
+            shared += inside[pair] == 1 and pair in wanted
+            if at >= size:
+                old = pairs[at - size]
+                inside[old] -= 1
+                if not inside[old]:
+                    del inside[old]
+                    shared -= old in wanted
+            if at >= size - 1 and shared >= self.needed[i]:
+                best = max(best, 2 * shared / (len(inside) + len(wanted)))
+        return best
+
     def text(self, text: str | None) -> list[tuple[float, str]]:
         """Each matched licence once with its best Dice, the best first."""
+        words = words_of(text or "")
+        pairs = list(zip(words, words[1:], strict=False))
+        common = self.known.intersection(pairs)
+        counts = Counter(i for b in common for i in self.holds[b])
+        likely = [i for i, n in counts.items() if n >= self.needed[i]]
+        if not likely:
+            return []
         best: dict[str, float] = {}
         for u in units(text or ""):
             for dice, name in self.unit(u):
                 best[name] = max(dice, best.get(name, 0.0))
+        for i in likely:
+            dice, name = self.windows(pairs, i), self.sets[i][0]
+            if dice >= self.threshold:
+                best[name] = max(dice, best.get(name, 0.0))
         return sorted(((d, n) for n, d in best.items()), key=lambda x: (-x[0], x[1]))
 
 
@@ -103,7 +162,7 @@ def scan(docs: DataFrame, templates: Mapping[str, list[str]] | None = None, thre
     Null and empty texts match nothing; of equal Dice the name that sorts first is the best; repeated rows
     are scanned each; no rows give no rows; other columns are not read.
     """
-    given = dict(templates or TEMPLATES)
+    given = dict(templates or known_templates())
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Matcher(given, threshold)
