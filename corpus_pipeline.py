@@ -6,6 +6,7 @@ the columns of documents; the last returns the pieces of the packed sequences.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,11 +34,22 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group at a similarity of 0.8 over five-word shingles, the one with the smallest doc_id."""
+    """Of each group at a similarity of 0.8 over five-word shingles, the row with the smallest doc_id.
+
+    Rows are told apart by file and position, as ids may repeat or be null; of equal ids the first row stays,
+    and a row without an id only if its whole group has none.
+    """
     scratch = Scratch(spark, "near-copies")
-    groups = near_duplicates(docs)
-    gone = scratch.table(groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    place = [F.col("_metadata.file_path").alias("_row_file"), F.col("_metadata.row_index").alias("_row_at")]
+    try:
+        placed = docs.select(*docs.columns, *place)
+    except AnalysisException:  # not read from files
+        placed = scratch.table(docs, "rows").select(*docs.columns, *place)
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row_file", "_row_at")
+    groups = near_duplicates(placed.select(row.alias("doc_id"), "text"))
+    gone = groups.filter((F.col("doc_id._row_file") != F.col("component_id._row_file")) | (F.col("doc_id._row_at") != F.col("component_id._row_at")))
+    gone = scratch.table(gone.select("doc_id._row_file", "doc_id._row_at"), "gone")
+    return placed.join(gone, ["_row_file", "_row_at"], "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,3 +40,18 @@ def test_all_are_registered():
     names = entry.queries()
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
+
+
+def test_near_copies_are_dropped_by_row(spark, tmp_path):
+    """Ids that repeat or are null neither take clean rows along nor keep copies."""
+    words = [f"w{i}" for i in range(120)]
+    base, other = " ".join(words), " ".join(f"v{i}" for i in range(60))
+    near = lambda i: " ".join([*words[:i], "changed", *words[i + 1 :]])
+    rows = [(3, base), (7, near(0)), (7, other), (3, near(119)), (None, near(1)), (None, "clean text without an id"), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/d.parquet")
+    for docs in (spark.read.parquet(f"{tmp_path}/d.parquet"), df):
+        out = corpus_pipeline.drop_near_copies(spark, docs, "")
+        kept = [tuple(r) for r in out.collect()]
+        assert out.columns == ["doc_id", "text"] and len(kept) == 4
+        assert sum(d == 3 for d, _ in kept) == 1 and {(7, other), (None, "clean text without an id"), (9, None)} < set(kept)
