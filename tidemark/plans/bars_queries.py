@@ -352,7 +352,7 @@ def analogue_embeddings(spark, d):
 
 @query()
 def analogue_embeddings_all(spark, d):
-    """All vectors, all 64 components and the regime label % 2; its SQL would take too long, it is tested against brute force."""
+    """All vectors, all 64 components and the regime label % 2; without SQL, tested against brute force."""
     df = spark.read.parquet(f"{d}/embeddings.parquet").select(
         F.lit("v").alias("series_id"), F.col("vec_id").alias("t"), F.transform("embedding", lambda x: x.cast("double")).alias("emb"), F.array(F.col("label").cast("double")).alias("y"), (F.col("label") % 2).alias("state")
     )
