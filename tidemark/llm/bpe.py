@@ -10,11 +10,23 @@ lowest rank first and leftmost first, gives.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+
+from .words import _TABLE, PLACES, mix, text_chunks
 
 NONE = np.iinfo(np.int64).max
+#: Classes of bytes in runs that are split without the pattern: letters (ASCII, and the lead bytes of U+00C0 to
+#: U+024F, which are all letters but for two), digits, white space, other marks; 9: left to the pattern.
+LETTER, DIGIT, SPACE, MARK, ODD = 0, 1, 2, 3, 9
+_CLASS = np.full(256, MARK, np.int8)
+_CLASS[[*range(65, 91), *range(97, 123), *range(0xC3, 0xCA)]] = LETTER
+_CLASS[48:58] = DIGIT
+_CLASS[[9, 10, 11, 12, 13, 32]] = SPACE
+_CLASS[[*range(28, 32), 39, *range(0xC0, 0xC3), *range(0xCA, 256)]] = ODD
+_CLASS[0x80:0xC0] = LETTER  # goes with the byte before
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -27,7 +39,7 @@ def byte_alphabet() -> dict[str, int]:
 class Merger:
     """Symbols of pre-tokens by a byte-level vocabulary in the ``tokenizers`` JSON format."""
 
-    def __init__(self, path: str, pattern: str, keep: int = 300_000):
+    def __init__(self, path: str, pattern: str, keep: int = 400_000, longest: int = 256):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -46,24 +58,22 @@ class Merger:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.words = regex.compile(pattern)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        #: A space with white space on both sides: there, pre-tokens may depend on what is beyond the space.
-        self.wide = regex.compile(r"\s \s")
-        self.keep, self.known, self.runs = keep, {}, {}
+        self.keep, self.longest = keep, longest
+        self.young, self.old = Known.empty(), Known.empty()
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 32 | right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], NONE)
 
-    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """ids of all words' symbols, and each word's number of symbols."""
-        sizes = np.array([len(w) for w in words], np.int64)
-        sym = self.first[np.frombuffer(b"".join(words), np.uint8)]
-        seq = np.repeat(np.arange(len(words)), sizes)
+    def merge(self, data: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of the symbols of all words, which follow each other in ``data``, and each word's number of symbols."""
+        raw = np.frombuffer(data, np.uint8).astype(np.int64)
+        sym = self.first[raw]
+        seq = np.repeat(np.arange(len(sizes)), sizes)
         done: list[tuple[np.ndarray, np.ndarray]] = []
         rank = np.full(len(sym), NONE)
         if len(sym) > 1:
-            raw = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
             rank[:-1] = np.where(seq[:-1] == seq[1:], self.byte_ranks[raw[:-1] << 8 | raw[1:]], NONE)
         while len(sym):
             starts = np.flatnonzero(np.r_[True, seq[1:] != seq[:-1]])
@@ -92,10 +102,10 @@ class Merger:
             rank[fresh] = NONE
             rank[inner] = self.rank(sym[inner], sym[inner + 1])
         if not done:
-            return np.zeros(0, np.int64), np.zeros(len(words), np.int64)
+            return np.zeros(0, np.int64), np.zeros(len(sizes), np.int64)
         sym, seq = (np.concatenate(x) for x in zip(*done, strict=True))
         order = np.argsort(seq, kind="stable")
-        return sym[order], np.bincount(seq, minlength=len(words))
+        return sym[order], np.bincount(seq, minlength=len(sizes))
 
     def pieces(self, text: str) -> list[str]:
         """Pre-tokens; special strings stand as they are and are not split."""
@@ -106,60 +116,180 @@ class Merger:
             out += [part] if part in self.special else self.words.findall(part)
         return out
 
-    def learn(self, split: Iterable[list[str]], packed: bool) -> dict:
-        """known holds each piece's number of symbols or, packed, their ids as 4 bytes each (little-endian).
+    def split_runs(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, slow: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all runs (data[start : start + size]) in order, and each run's number of ids.
 
-        It covers all pieces of the texts given, and is emptied before when it has grown past its bound.
+        Runs of letters, digits, marks and single white space are split where the class changes; others, and
+        those in ``slow``, by the pattern, one at a time.
         """
-        if len(self.known) > self.keep:
-            self.known = {}
-        fresh = set().union(*split).difference(self.known)
-        plain = list(fresh.difference(self.special))
-        for i in range(0, len(plain), 50_000):
-            part = plain[i : i + 50_000]
-            ids, sizes = self.merge([p.encode() for p in part])
-            if packed:
-                raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
-                self.known.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
-            else:
-                self.known.update(zip(part, sizes.tolist(), strict=True))
-        for p in fresh.intersection(self.special):
-            self.known[p] = np.array([self.special[p]], "<u4").tobytes() if packed else 1
-        return self.known
-
-    def encode(self, texts: list[str | None], packed: bool = False) -> list:
-        """Each text's number of symbols, or its ids as 4 bytes each; always in the same mode for one merger.
-
-        Texts are cut before single spaces, where pre-tokens end anyway, and what a run between two spaces
-        gives is kept; only runs that are new are split into pre-tokens. Texts in which a space stands
-        between other white space, or which hold special strings, are split as a whole.
+        place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        raw = data[np.repeat(starts, sizes) + place]
+        kind = _CLASS[raw]
+        run = np.repeat(np.arange(len(sizes)), sizes)
+        odd = kind == ODD
+        odd[1:] |= (raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7))
+        odd[1:] |= (kind[1:] == SPACE) & (kind[:-1] == SPACE) & (place[1:] > 0)
+        slow = slow | (np.bincount(run[odd], minlength=len(sizes)) > 0)
+        new = np.ones(len(raw), bool)
+        new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == SPACE) | (place[1:] == 0)
+        new[(place == 1) & np.r_[False, raw[:-1] == 32]] = False  # a space goes with what follows it
+        fast = ~slow[run]
+        begins = np.flatnonzero(new[fast])
+        ids, counts = self.merge(raw[fast].tobytes(), np.diff(np.r_[begins, int(fast.sum())]))
+        per = np.bincount(run[fast][begins], weights=counts, minlength=len(sizes)).astype(np.int64)
+        if not slow.any():
+            return ids, per
+        ends = np.cumsum(sizes)
+        whole = raw.tobytes()
+        split = [self.pieces(whole[ends[i] - sizes[i] : ends[i]].decode()) for i in np.flatnonzero(slow)]
+        known = self.learn(split)
+        lists = [np.concatenate([known[p] for p in x]) for x in split]
+        per[slow] = [len(x) for x in lists]
+        out = np.zeros(int(per.sum()), np.int64)
+        theirs = np.repeat(slow, per)
+        out[theirs], out[~theirs] = np.concatenate(lists), ids
+        return out, per
+
+    def learn(self, split: list[list[str]]) -> dict[str, np.ndarray]:
+        """The ids of each pre-token of the lists."""
+        fresh = set().union(*split)
+        known = {p: np.array([self.special[p]]) for p in fresh.intersection(self.special)}
+        plain = list(fresh.difference(known))
+        parts = [p.encode() for p in plain]
+        ids, counts = self.merge(b"".join(parts), np.array([len(p) for p in parts], np.int64))
+        known.update(zip(plain, np.split(ids, np.cumsum(counts)[:-1]), strict=True))
+        return known
+
+    def chunk(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all texts of a chunk in order, and each text's number of ids."""
+        n = len(offsets) - 1
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(n, np.int64)
+        first, last = offsets[:-1][np.diff(offsets) > 0], offsets[1:][np.diff(offsets) > 0] - 1
+        text_of = lambda at: np.searchsorted(offsets, at, side="right") - 1
+        # texts in which a space does not begin a pre-token, or which may hold special strings, stay whole
+        space = data == 32
+        ws_end, ws_start = _white(data)
+        wide = space.copy()
+        wide[1:] &= ws_end[:-1]
+        wide[first] = False
+        after = np.r_[ws_start[1:], False]
+        after[last] = True
+        whole = np.zeros(n, bool)
+        whole[text_of(np.flatnonzero(wide & after))] = True
+        raw = data.tobytes()
+        for x in self.special:
+            if (mark := x.encode()) in raw:
+                at = raw.find(mark)
+                while at >= 0:
+                    whole[text_of(at)] = True
+                    at = raw.find(mark, at + 1)
+        begin = space & ~np.repeat(whole, np.diff(offsets))
+        begin[first] = True
+        starts = np.flatnonzero(begin)
+        sizes = np.diff(np.r_[starts, len(data)])
+        place = np.arange(len(data)) - np.repeat(starts, sizes)
+        value = _TABLE[((place & (PLACES - 1)) << 8) + data]
+        far = np.flatnonzero(place >= PLACES)
+        value[far] = mix(value[far] + (place[far] // PLACES).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        keys, at, which = np.unique(mix(np.add.reduceat(value, starts) + sizes.astype(np.uint64)), return_index=True, return_inverse=True)
+        parts = [self.young, self.old]
+        hits = [k.find(keys) for k in parts]
+        fresh = np.flatnonzero((hits[0] < 0) & (hits[1] < 0))
+        if len(fresh):
+            ids, counts = self.split_runs(data, starts[at[fresh]], sizes[at[fresh]], whole[text_of(starts[at[fresh]])])
+            new = Known(keys[fresh], np.cumsum(counts) - counts, counts, ids.astype(np.uint32))
+        else:
+            new = Known.empty()
+        parts.append(new)
+        hits.append(np.full(len(keys), -1))
+        hits[2][fresh] = np.arange(len(fresh))
+        base = np.cumsum([0, *(len(k.ids) for k in parts)])
+        begin_u, count_u = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        for k, hit, b in zip(parts, hits, base, strict=False):
+            yes = hit >= 0
+            begin_u[yes], count_u[yes] = k.starts[hit[yes]] + b, k.counts[hit[yes]]
+        counts = count_u[which]
+        out = np.concatenate([k.ids for k in parts])[np.repeat(begin_u[which] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))]
+        self.young = self.young.joined(new.where(sizes[at[fresh]] <= self.longest))
+        if len(self.young.keys) > self.keep // 4:
+            grown = self.old.joined(self.young)
+            self.old, self.young = grown if len(grown.keys) <= self.keep else self.young, Known.empty()
+        return out, np.bincount(text_of(starts), weights=counts, minlength=n).astype(np.int64)
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all texts in order, and each text's number of ids.
+
+        Texts are cut before single spaces, where pre-tokens end anyway. A run between two spaces is known by a
+        64-bit hash, and what it gives is kept, in two generations of which the older one is let go.
         """
-        add = b"".join if packed else sum
-        whole = [i for i, t in enumerate(texts) if t and (self.wide.search(t) or any(x in t for x in self.special))]
-        other = set(whole)
-        cut = [t.split(" ") if t and i not in other else [] for i, t in enumerate(texts)]
-        if len(self.runs) > self.keep:
-            self.runs = {}
-        fresh = list(set().union(*(c[1:] for c in cut)).difference(self.runs))
-        first = [c[0] for c in cut if c]
-        split = [self.words.findall(" " + r) for r in fresh]
-        heads = [self.words.findall(r) for r in first]
-        wholes = [self.pieces(texts[i]) for i in whole]
-        known = self.learn([*split, *heads, *wholes], packed).__getitem__
-        self.runs.update(zip(fresh, (add(map(known, s)) for s in split), strict=True))
-        run = self.runs.__getitem__
-        start = iter(heads)
-        out = [add([add(map(known, next(start))), *map(run, c[1:])]) if c else add([]) for c in cut]
-        for i, s in zip(whole, wholes, strict=True):
-            out[i] = add(map(known, s))
-        return out
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for _, _, data, offsets in text_chunks(texts):
+            i, c = self.chunk(data, offsets)
+            ids.append(i)
+            counts.append(c)
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text."""
+        ids, counts = self.encode_array(pa.array(texts, pa.string()))
+        return np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else []
+
+
+@dataclass
+class Known:
+    """What runs give: sorted hashes of the runs, and for each the place and number of its ids."""
+
+    keys: np.ndarray
+    starts: np.ndarray
+    counts: np.ndarray
+    ids: np.ndarray
+
+    @staticmethod
+    def empty() -> Known:
+        return Known(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The entry of each key, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def where(self, take: np.ndarray) -> Known:
+        counts = self.counts[take]
+        return Known(self.keys[take], np.cumsum(counts) - counts, counts, self.ids[np.repeat(take, self.counts)])
+
+    def joined(self, other: Known) -> Known:
+        keys = np.r_[self.keys, other.keys]
+        order = np.argsort(keys)
+        return Known(keys[order], np.r_[self.starts, other.starts + len(self.ids)][order], np.r_[self.counts, other.counts][order], np.r_[self.ids, other.ids])
+
+
+def _white(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes that end, and bytes that begin, a character of white space (Unicode's)."""
+    ends = np.isin(data, [9, 10, 11, 12, 13, 28, 29, 30, 31, 32])
+    starts = ends.copy()
+    n = len(data)
+    for lead, width in ((0xC2, 2), (0xE1, 3), (0xE2, 3), (0xE3, 3)):
+        at = np.flatnonzero(data[: max(n - width + 1, 0)] == lead)
+        one, two = data[at + 1], data[at + width - 1]
+        yes = {
+            0xC2: (one == 0x85) | (one == 0xA0),
+            0xE1: (one == 0x9A) & (two == 0x80),
+            0xE2: (one == 0x80) & ((two <= 0x8A) | np.isin(two, [0xA8, 0xA9, 0xAF])) | (one == 0x81) & (two == 0x9F),
+            0xE3: (one == 0x80) & (two == 0x80),
+        }[lead]
+        starts[at[yes]] = True
+        ends[at[yes] + width - 1] = True
+    return ends, starts
 
 
 _mergers: dict[tuple, Merger] = {}
 
 
-def merger(path: str, pattern: str, use: str) -> Merger:
-    """One per Python worker and use: loading a vocabulary takes longer than a batch."""
-    if (path, pattern, use) not in _mergers:
-        _mergers[path, pattern, use] = Merger(path, pattern)
-    return _mergers[path, pattern, use]
+def merger(path: str, pattern: str) -> Merger:
+    """One per Python worker: loading a vocabulary takes longer than a batch."""
+    if (path, pattern) not in _mergers:
+        _mergers[path, pattern] = Merger(path, pattern)
+    return _mergers[path, pattern]

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from .bpe import merger
 from .shared import Scratch, number_within
-from .token_counts import TEXTS, vocabulary
+from .token_counts import slices, vocabulary
 
 END = 1
 
@@ -62,23 +62,22 @@ def pieces(docs: DataFrame, size: int, path: str, pattern: str, id_col: str, tex
     """The pieces of every document: full sequences first, then the remainder."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = merger(path, pattern, "ids")
-        end = np.array([END], "<u4").tobytes()
+        m = merger(path, pattern)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            row, start, length, crc, total = [], [], [], [], []
-            for lo in range(0, len(texts), TEXTS):
-                for i, packed in enumerate(m.encode(texts.slice(lo, TEXTS).to_pylist(), packed=True), lo):
-                    packed += end
-                    n = len(packed) // 4
-                    for a in range(0, n, size):
-                        b = min(a + size, n)
-                        row.append(i)
-                        start.append(a)
-                        length.append(b - a)
-                        crc.append(zlib.crc32(packed[4 * a : 4 * b]))
-                        total.append(n)
-            yield pa.record_batch([ids.take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))], ["id", "start", "length", "ids_crc32", "doc_tokens"])
+            for lo, texts in slices(batch.column(1)):
+                ids, counts = m.encode_array(texts)
+                total = counts + 1
+                ends = np.cumsum(total)
+                whole = np.full(int(total.sum()), END, "<u4")
+                whole[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
+                n = -(-total // size)
+                row = np.repeat(np.arange(len(n)), n)
+                start = (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * size
+                length = np.minimum(size, total[row] - start)
+                at = 4 * ((ends - total)[row] + start)
+                raw = memoryview(whole.tobytes())
+                crc = [zlib.crc32(raw[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
+                yield pa.record_batch([batch.column(0).take(pa.array(row + lo)), *(pa.array(x, pa.int64()) for x in (start, length, crc, total[row]))], ["id", "start", "length", "ids_crc32", "doc_tokens"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, f"id {id_type}, start long, length long, ids_crc32 long, doc_tokens long")

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import merger
 
-#: Texts whose pre-tokens are held at a time.
-TEXTS = 512
+#: Texts whose ids are held at a time.
+TEXTS = 1024
+
+
+def slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, rows) of consecutive rows."""
+    for lo in range(0, len(texts), TEXTS):
+        yield lo, texts.slice(lo, TEXTS)
 
 
 def vocabulary() -> tuple[str, str]:
@@ -30,13 +35,11 @@ def with_token_counts(docs: DataFrame, path: str, pattern: str, id_col: str = "d
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = merger(path, pattern, "count")
+        m = merger(path, pattern)
         for batch in batches:
-            texts = batch.column(1)
-            counts = np.zeros(len(texts), np.int64)
-            for lo in range(0, len(texts), TEXTS):
-                counts[lo : lo + TEXTS] = m.encode(texts.slice(lo, TEXTS).to_pylist())
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(counts)], ["id", "n_bytes", "n_tokens"])
+            for lo, texts in slices(batch.column(1)):
+                _, counts = m.encode_array(texts)
+                yield pa.record_batch([batch.column(0).slice(lo, len(texts)), batch.column(2).slice(lo, len(texts)), pa.array(counts)], ["id", "n_bytes", "n_tokens"])
 
     n_bytes = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
     id_type = docs.schema[id_col].dataType.simpleString()
