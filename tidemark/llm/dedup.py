@@ -2,14 +2,14 @@
 
 The stream reads the table's files as they stand. Its state (RocksDB: on disk, not on the heap) keeps for
 each content digest the row count, a stable identifier (the largest document id) and a content locator
-(file and row in it) of the row to keep. A hit, a row whose digest the state has seen, is then held against
-the kept row's full bytes; rows that share a digest but not the bytes are grouped anew by their bytes.
+(file and row in it) of the row to keep. On hits, rows whose digest the state has seen, full bytes are held
+against each other; rows that share a digest but not the bytes are grouped anew by their bytes.
 
 Everything on the way is DataFrame and Structured Streaming built-ins.
 
 Defined cases: a null text counts as empty; a null id sorts before every other and two rows with one id are
 told apart by their locators, so that exactly one row of a group stays; an empty table gives an empty
-result; extra columns are carried inside a struct and cannot clash.
+result; other columns are not read, so their names cannot clash (those of ``PLACE`` are reserved in ``dedup``).
 """
 
 from __future__ import annotations
@@ -19,10 +19,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Scratch, lower_ascii
+from .shared import PLACE, Scratch, lower_ascii, table_path, without_rows
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 FILES_PER_BATCH = 4096
+SALTS = 64
+#: Hashes of repeated digests that are broadcast at most; beyond that, their texts are found by a shuffle.
+MARKS = 2_000_000
 
 
 def normalised(text: Column) -> Column:
@@ -72,45 +75,51 @@ def stream_state(spark: SparkSession, path: str, scratch: Scratch, id_col: str,
     return spark.read.schema(state.schema).parquet(scratch.path("state")).groupBy("digest").agg(F.max("n").alias("n"), F.max("keeper").alias("keeper"))
 
 
-def dedup_table(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256_hex, carry: bool = False, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
-    """One row for each row of the Parquet table at ``path``: id, digest, keep_id, n, kept; with ``carry`` also
-    ``row``, a struct of all its columns."""
+def dedup_table(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256_hex, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
+    """One row for each row of the Parquet table at ``path``: id, loc (id, file, row), digest, keep_id, n, kept.
+
+    Only digests and locators are shuffled to the state, those of frequent digests (a thousandth of all rows and
+    more, so a thousand digests at most) over ``SALTS`` partitions. Texts move only on hits: of each digest seen
+    more than once, the least and the largest bytes are found, and if they differ, its rows are grouped anew.
+    """
     scratch = Scratch(spark, "dedup")
-    state = stream_state(spark, path, scratch, id_col, text_col, digest, files_per_batch)
+    state = scratch.table(stream_state(spark, path, scratch, id_col, text_col, digest, files_per_batch), "state-last")
+    total, repeated = state.agg(F.sum("n"), F.count(F.when(F.col("n") > 1, 1))).first()
+    frequent = F.broadcast(state.filter((F.col("n") > 1) & (F.col("n") * 1000 >= F.lit(total or 0))).select("digest", F.lit(True).alias("frequent")))
     docs = spark.read.parquet(path)
-    keyed = docs.select(
-        digest(normalised(F.col(text_col))).alias("digest"),
-        _locator(id_col).alias("loc"),
-        F.col(text_col).alias("text"),
-        *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []),
-    )
-    joined = keyed.join(state, "digest")
-    hit = F.col("n") > 1
-    assigned = scratch.table(
-        joined.select(
-            F.col("loc.id").alias("id"), "loc", "digest", "n", F.col("keeper.id").alias("keep_id"), (F.col("loc") == F.col("keeper")).alias("kept"),
-            F.when(hit, normalised(F.col("text"))).alias("bytes"), *(["row"] if carry else []),
-        ),
-        "assigned",
-    )
-    kept = assigned.filter(hit & F.col("kept")).select("digest", F.col("bytes").alias("kept_bytes"))
-    differing = scratch.table(assigned.filter(hit & ~F.col("kept")).select("digest", "bytes").join(kept, "digest").filter(F.col("bytes") != F.col("kept_bytes")).select("digest").distinct(), "differing")
-    columns = ["id", "digest", "keep_id", "n", "kept", *(["row"] if carry else [])]
+    key = digest(normalised(F.col(text_col))).alias("digest")
+    salt = F.when(F.col("frequent"), F.pmod(F.xxhash64("loc.file", "loc.row"), F.lit(SALTS))).otherwise(0).cast("long").alias("salt")
+    rows = docs.select(key, _locator(id_col).alias("loc")).join(frequent, "digest", "left").select("digest", "loc", salt)
+    salts = F.when(F.col("frequent"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    known = state.join(frequent, "digest", "left").select("digest", "n", "keeper", F.explode(salts).alias("salt"))
+    assigned = rows.join(known, ["digest", "salt"])
+    assigned = scratch.table(assigned.select(F.col("loc.id").alias("id"), "loc", "digest", F.col("keeper.id").alias("keep_id"), "n", (F.col("loc") == F.col("keeper")).alias("kept")), "assigned")
+    if not repeated:
+        return assigned
+    with_bytes = docs.select(key, _locator(id_col).alias("loc"), normalised(F.col(text_col)).alias("bytes"))
+    marks = state.filter("n > 1").select(F.xxhash64("digest").alias("mark")).distinct()
+    hits = with_bytes.withColumn("mark", F.xxhash64("digest")).join(F.broadcast(marks) if repeated <= MARKS else marks, "mark", "left_semi")
+    bytes_of = hits.groupBy("digest").agg(F.min("bytes").alias("least"), F.max("bytes").alias("most"))
+    differing = scratch.table(bytes_of.filter("least <> most").select("digest"), "differing")
     if differing.isEmpty():
-        return assigned.select(*columns)
-    again = assigned.join(differing, "digest", "left_semi").drop("n", "keep_id", "kept")
+        return assigned
+    again = with_bytes.join(differing, "digest", "left_semi")
     groups = again.groupBy("digest", "bytes").agg(F.count(F.lit(1)).alias("n"), F.max("loc").alias("keeper"))
-    regrouped = again.join(groups, ["digest", "bytes"]).withColumns({"keep_id": F.col("keeper.id"), "kept": F.col("loc") == F.col("keeper")})
-    return assigned.join(differing, "digest", "left_anti").select(*columns).unionByName(regrouped.select(*columns))
+    regrouped = again.join(groups, ["digest", "bytes"]).select(F.col("loc.id").alias("id"), "loc", "digest", F.col("keeper.id").alias("keep_id"), "n", (F.col("loc") == F.col("keeper")).alias("kept"))
+    return assigned.join(differing, "digest", "left_anti").select(*regrouped.columns).unionByName(regrouped)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The kept rows of any DataFrame, with its own columns: it is written first, as a stream reads files."""
+    """The kept rows of any DataFrame, with its own columns. As a stream reads files, it is written first unless
+    it is a Parquet table as it stands."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "dedup-input")
-    scratch.table(docs, "rows")
-    out = dedup_table(spark, scratch.path("rows"), id_col, text_col, carry=True)
-    return out.filter("kept").select("row.*")
+    path = table_path(docs)
+    if path is None:
+        path = scratch.path("rows")
+        docs = scratch.table(docs, "rows")
+    gone = dedup_table(spark, path, id_col, text_col).filter(~F.col("kept")).select("loc.file", "loc.row")
+    return without_rows(docs, scratch.table(gone.toDF(*PLACE), "gone"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

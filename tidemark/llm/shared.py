@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -15,10 +16,14 @@ _own_root: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; where unset (tests), one of our own."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; where unset (tests), one of our own.
+
+    A cluster must name one: a folder of the driver's machine is not seen by executors elsewhere."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_root:
         _own_root.append("file://" + tempfile.mkdtemp(prefix="spark-tidemark-"))
     return _own_root[0]
@@ -50,6 +55,39 @@ class Scratch:
             path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Where a row stands: names for its file and its number in it.
+PLACE = ["_row_file", "_row_at"]
+#: Places of rows that are broadcast at most (some 20 MB).
+FEW = 100_000
+
+
+def with_place(docs: DataFrame) -> DataFrame:
+    """A DataFrame over files with the place of each row."""
+    return docs.select(*(F.col(f"`{c}`") for c in docs.columns), F.col("_metadata.file_path").alias(PLACE[0]), F.col("_metadata.row_index").alias(PLACE[1]))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs, over files, without the rows at the places in ``gone``; few places are broadcast, more are shuffled."""
+    if gone.count() <= FEW:
+        gone = F.broadcast(gone)
+    return with_place(docs).join(gone, PLACE, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def table_path(docs: DataFrame) -> str | None:
+    """The path of the Parquet table that ``docs`` is, as it stands, or None."""
+    files = docs.inputFiles()
+    if not files:
+        return None
+    spark, folder = docs.sparkSession, files[0].rpartition("/")[0]
+    for path in [*files[:1], folder] if len(files) == 1 else [folder]:
+        try:
+            if docs.sameSemantics(spark.read.parquet(path)):
+                return path
+        except AnalysisException:  # not a Parquet table
+            continue
+    return None
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z only; other letters keep their case."""
     return F.translate(text, UPPER, LOWER)
