@@ -14,7 +14,7 @@ from tidemark.llm.dedup import dedup
 from tidemark.llm.jaccard import near_duplicates
 from tidemark.llm.mixing import Mixture, mix_documents
 from tidemark.llm.packing import pack
-from tidemark.llm.shared import Scratch
+from tidemark.llm.shared import PLACE, Scratch, with_place, without_rows
 from tidemark.llm.token_counts import vocabulary
 from tidemark.llm.toxicity import REJECT, fit, score_toxicity
 
@@ -40,16 +40,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     and a row without an id only if its whole group has none.
     """
     scratch = Scratch(spark, "near-copies")
-    place = [F.col("_metadata.file_path").alias("_row_file"), F.col("_metadata.row_index").alias("_row_at")]
     try:
-        placed = docs.select(*docs.columns, *place)
+        placed = with_place(docs)
     except AnalysisException:  # not read from files
-        placed = scratch.table(docs, "rows").select(*docs.columns, *place)
-    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row_file", "_row_at")
+        docs = scratch.table(docs, "rows")
+        placed = with_place(docs)
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *PLACE)
     groups = near_duplicates(placed.select(row.alias("doc_id"), "text"))
-    gone = groups.filter((F.col("doc_id._row_file") != F.col("component_id._row_file")) | (F.col("doc_id._row_at") != F.col("component_id._row_at")))
-    gone = scratch.table(gone.select("doc_id._row_file", "doc_id._row_at"), "gone")
-    return placed.join(gone, ["_row_file", "_row_at"], "left_anti").select(*docs.columns)
+    own, kept = ([F.col(f"{c}.{p}") for p in PLACE] for c in ("doc_id", "component_id"))
+    gone = groups.filter((own[0] != kept[0]) | (own[1] != kept[1]))
+    return without_rows(docs, scratch.table(gone.select(*own), "gone"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
