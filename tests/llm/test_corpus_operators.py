@@ -77,8 +77,8 @@ def test_tokens_are_the_library_s(spark, docs, nothing, corpus):
     assert sorted((r.n_bytes, r.n_tokens) for r in out) == sorted((len((t or "").encode()), len(i)) for (_, t, *_), i in zip(corpus, ids))
     rng = random.Random(2)
     odd = ["".join(rng.choice(["a", " ", "\n", "'s", "1", "é", "!", "\t", "b", " ", "日", "aa"]) for _ in range(rng.randint(0, 14))) for _ in range(500)]
-    got = bpe.Merger(path, pattern).encode(odd, packed=True)
-    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in odd]
+    got = bpe.Merger(path, pattern).encode(odd)
+    assert [g.tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in odd]
 
     pieces = packing.pack(docs, 256, path, pattern).collect()
     assert sum(p.length for p in pieces) == sum(len(i) + 1 for i in ids)
@@ -197,8 +197,8 @@ def test_near_duplicates_of_nothing(nothing):
     assert jaccard.near_duplicates(nothing).count() == 0
 
 
-def test_large_buckets_and_passed_over_segments(spark, monkeypatch):
-    """Small limits send every pair through hubs, later rounds and the prefix join; links stay the same."""
+def test_large_buckets_and_passed_over_segments(spark):
+    """Small limits send every pair through hubs and both prefix joins; links stay the same."""
     rng = random.Random(8)
     word = lambda: "".join(rng.choices("abcdefgh", k=4))
     passage = [word() for _ in range(30)]
@@ -212,15 +212,10 @@ def test_large_buckets_and_passed_over_segments(spark, monkeypatch):
             rows.append((len(rows), " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = sorted((d, *x) for (d, _), x in zip(rows, brute.jaccard_components(rows, 3, 80, 100)))
-    for small, rounds, slack in ((16, 4, 0), (2, 4, 0), (2, 0, 0), (2, 1, 1000)):
-        monkeypatch.setattr(jaccard, "SMALL", small)
-        monkeypatch.setattr(jaccard, "ROUNDS", rounds)
-        monkeypatch.setattr(jaccard, "BLOCK", 2 if rounds else 256)
-        plain = jaccard._documents
-        monkeypatch.setattr(jaccard, "_documents", lambda *a: plain(*a).withColumn("slack", F.col("slack") - slack))  # noqa: B023
-        out = jaccard.near_duplicates(df, 3, 80, 100)
-        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()) == want, (small, rounds, slack)
-        monkeypatch.setattr(jaccard, "_documents", plain)
+    for small, withheld, local, common in ((16, 0, 2_000_000, 65_536), (2, 0, 2_000_000, 65_536), (2, 4, 2_000_000, 0), (2, 1000, 2_000_000, 65_536), (2, 1000, 500, 65_536), (3, 2, 1, 65_536)):
+        limits = jaccard.Limits(small=small, withheld=withheld, local=local, common=common, per_hub=2)
+        out = jaccard.near_duplicates(df, 3, 80, 100, limits=limits)
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()) == want, limits
 
 
 # ---- 6
