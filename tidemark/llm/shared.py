@@ -79,7 +79,9 @@ def table_path(docs: DataFrame) -> str | None:
     if not files:
         return None
     spark, folder = docs.sparkSession, files[0].rpartition("/")[0]
-    for path in [*files[:1], folder] if len(files) == 1 else [folder]:
+    known = [*files[:1], folder] if len(files) == 1 else [folder]
+    # plain paths may have been given without their scheme, and plans of the same files then differ
+    for path in [*known, *("/" + x.removeprefix("file:").lstrip("/") for x in known if x.startswith("file:"))]:
         try:
             if docs.sameSemantics(spark.read.parquet(path)):
                 return path
