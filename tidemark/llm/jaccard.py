@@ -34,6 +34,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .components import components
@@ -58,6 +59,7 @@ class Limits:
     local: int = 2_000_000  # longs that are broadcast: ids of wanted sets, prefixes of sets that ask all others
     sample: int = 2048  # sets on which costs and common shingles are measured
     common: int = 65_536  # common shingles that are put last
+    few: int = 100_000  # classes that are broadcast to pick their sets; more are shuffled
     asks: float = 2000.0  # cost of a set that asks, in index rows
     withheld: int = 0  # slack that no set may use
 
@@ -221,6 +223,11 @@ def _wire_schema(id_type: pa.DataType) -> pa.Schema:
     return pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("doc_id", id_type), ("size", long), ("cls", long), ("slack", long), ("bits", pa.list_(long)), ("shingles", pa.list_(long)), ("sig", long), ("a", long), ("b", long), ("low", pa.binary()), ("owners", pa.binary()), ("common", pa.binary())])
 
 
+def _id_type(id_type: T.DataType) -> pa.DataType:
+    """With nullable fields throughout, as rows that are no documents have none."""
+    return to_arrow_type(T.DataType.fromDDL(id_type.simpleString()))
+
+
 def _record(schema: pa.Schema, kind: int, n: int, given: dict) -> pa.RecordBatch:
     given = given | {"kind": pa.array(np.full(n, kind, np.int32))}
     return pa.record_batch([given[f.name] if f.name in given else pa.nulls(n, f.type) for f in schema], schema=schema)
@@ -235,7 +242,7 @@ def _cells(starts: np.ndarray, n: int, width: int, data: np.ndarray) -> pa.Array
 def _index(docs: DataFrame, k: int, bands: Bands, id_col: str, text_col: str, parts: int, limits: Limits) -> DataFrame:
     """One pass over the texts: a row for each document, and index rows as cells of (40 bits of signature,
     set) by part. A part and those 40 bits tell a bucket; where a set has one twice it keeps no slack."""
-    schema = _wire_schema(to_arrow_type(docs.schema[id_col].dataType))
+    schema = _wire_schema(_id_type(docs.schema[id_col].dataType))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, seen, turn = bands.tables(), np.zeros(0, np.int64), 0
@@ -457,6 +464,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, short: DataFrame, k: int, bands: B
 
 def _verified(pairs: DataFrame, sets: DataFrame, bands: Bands, limits: Limits) -> DataFrame:
     """Pairs (few are left that do not reach the threshold). The set of a hub is sent once for ``per_hub`` pairs."""
+    of = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    if of.count() <= limits.few:
+        sets = sets.join(F.broadcast(of), "cls", "left_semi")
     copies = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / limits.per_hub).cast("int").alias("copies"))
     dealt = pairs.join(copies, "a").withColumn("copy", F.pmod(F.xxhash64("b"), "copies").cast("int")).drop("copies")
     left = sets.join(copies.withColumnRenamed("a", "cls"), "cls").select(F.col("cls").alias("a"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("shingles").alias("x"))
@@ -545,7 +555,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     id_type = docs.schema[id_col].dataType
     indexed = _index(docs, k, bands, id_col, text_col, parts, limits).repartitionById(parts, F.col("part")).sortWithinPartitions("part")
-    found = scratch.table(_candidates(indexed, id_type.simpleString(), to_arrow_type(id_type), limits), "found")
+    found = scratch.table(_candidates(indexed, id_type.simpleString(), _id_type(id_type), limits), "found")
     members = found.filter(F.col("kind") == MEMBER).select("doc_id", "size", "cls", "slack")
     first = lambda c: F.first(c, ignorenulls=True).alias(c)
     classes = scratch.table(
@@ -566,7 +576,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     asking = scratch.table(_asking(large, joined), "asking")
     if not asking.isEmpty():
         inside = large.select("cls").join(asking.withColumn("asks", F.lit(True)), "cls", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
-        near = sets.join(_with_component(inside, joined).join(classes.select("cls", "bits"), "cls"), "cls")
+        inside = scratch.table(_with_component(inside, joined).join(classes.select("cls", "bits"), "cls"), "inside")
+        near = sets.join(F.broadcast(inside) if inside.count() <= limits.few else inside, "cls")
         met = scratch.table(_by_prefix(near, bands, scratch, limits), "pairs-prefix")
         links = scratch.table(links.unionByName(_verified(met, sets, bands, limits)).distinct(), "links-all")
         scratch.drop("prefixes", "prefixes-met", "pairs-prefix", "asking")
