@@ -85,8 +85,11 @@ def fit_hawkes(event: np.ndarray) -> tuple[float, float, float]:
 
 
 def fit_garch(r: np.ndarray) -> tuple[float, float, float, float]:
-    """(omega, alpha, beta, variance): the long-run variance is the sample's, so two parameters are left."""
-    var = float(np.mean(r**2))
+    """(omega, alpha, beta, variance): the long-run variance is the sample's, so two parameters are left.
+    NaN with fewer than two returns."""
+    if len(r) < 2:
+        return (math.nan,) * 4
+    var = float(np.var(r))
 
     def loss(x: np.ndarray) -> float:
         if np.abs(x).max() > 50:
@@ -107,10 +110,6 @@ def garch_horizon(next_variance: np.ndarray, fit: tuple[float, float, float, flo
     return var + (next_variance - var) * (1 - p**h) / (1 - p) / h
 
 
-def ols(x: np.ndarray, y: np.ndarray, ridge: float = 0.0) -> np.ndarray:
-    return np.linalg.lstsq(x, y, rcond=None)[0] if not ridge else np.linalg.solve(x.T @ x + ridge * np.eye(x.shape[1]), x.T @ y)
-
-
 def logistic_fit(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
     """Intercept and slope by Newton's method, without a penalty."""
     w = np.zeros(2)
@@ -131,6 +130,7 @@ def student_logpdf(x: np.ndarray, nu: float) -> np.ndarray:
 
 def fit_nu(z: np.ndarray) -> float:
     """Degrees of freedom in (2.1, 60) of a t distribution scaled to unit variance."""
+    z = z[np.isfinite(z)]
 
     def loss(nu: float) -> float:
         s = math.sqrt(nu / (nu - 2))

@@ -80,9 +80,14 @@ def return_embedding(r: Column, sigma: Column, w: int, m: int, normalize: bool =
     return F.when(F.col("t") >= w, F.array(*parts))
 
 
-def shape_embedding(r: Column, long: Column, h: int, m: int, floor: Column, digits: int | None = None) -> Column:
-    """log of the mean squared return over m spans of h bars, the oldest first, less the log of the long run."""
-    parts = [F.log(F.greatest(sma(r * r, h, q * h), floor)) - F.log(long) for q in range(m - 1, -1, -1)]
+def floored(x: Column, floor: Column) -> Column:
+    """x, but no less than the floor; NULL stays NULL, which greatest alone would take for the floor."""
+    return F.when(x.isNotNull(), F.greatest(x, floor))
+
+
+def shape_embedding(variance: Column, long: Column, h: int, m: int, floor: Column, digits: int | None = None) -> Column:
+    """log of the mean variance over m spans of h bars, the oldest first, less the log of the long run."""
+    parts = [F.log(floored(sma(variance, h, q * h), floor)) - F.log(long) for q in range(m - 1, -1, -1)]
     if digits is not None:
         parts = [F.round(p, digits) for p in parts]
     out = F.array(*parts)

@@ -8,21 +8,21 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions import windows as W
-from tidemark.functions.fitting import NORMAL, fit_garch, fit_hawkes, fit_nu, garch_horizon, logistic_fit, student_ppf
+from tidemark.functions.fitting import NORMAL, fit_garch, fit_hawkes, fit_nu, garch_horizon, logistic_fit, student_logpdf, student_ppf
 from tidemark.functions.recurrences import ewma_variance, garch_variance, hawkes_probability, rolling_tail, tail_of_sorted
 
 from .analogue import neighbours
 from .volatility import FLOOR, VolConfig, engine_of
 
-HALFLIVES = (10.0, 20.0, 40.0, 80.0)
+#: Fixed values.
+HALFLIVES = (5.0, 10.0, 20.0, 50.0, 100.0, 200.0)
 
 
 def with_har(data: DataFrame, c: VolConfig) -> DataFrame:
     """har: logs of mean realised variance over the three spans; NULL until all are complete."""
-    parts = [F.log(F.greatest(W.sma(F.col("rv"), n), F.col("floor"))) for n in c.har]
+    parts = [F.log(W.floored(W.sma(F.col("rv"), n), F.col("floor"))) for n in c.har]
     out = F.array(*parts)
     return data.withColumn("har", F.when(F.forall(out, lambda v: v.isNotNull()), out))
 
@@ -32,8 +32,9 @@ def with_folds(data: DataFrame, bounds: DataFrame) -> DataFrame:
     return data.join(bounds, "series_id").filter("t < b")
 
 
-def _stack(pdf: pd.DataFrame, column: str, width: int) -> np.ndarray:
-    return np.array([x if x is not None else [np.nan] * width for x in pdf[column]], float).reshape(len(pdf), width)
+def fit_rows(t: np.ndarray, a: int, c: VolConfig) -> np.ndarray:
+    """Bars past the warm-up whose targets are known when the fold starts at a."""
+    return (t >= c.warmup) & (t < a - c.h - 1)
 
 
 def har_coefficients(data: DataFrame, bounds: DataFrame, c: VolConfig) -> DataFrame:
@@ -101,15 +102,14 @@ def _ewma_garch(c: VolConfig, halflives: tuple[float, ...]):
         pdf = pdf.sort_values("t")
         r, floor, target, realised = (pdf[x].to_numpy(float) for x in ("r", "floor", "target", "realised"))
         t, a = pdf["t"].to_numpy(), int(pdf["a"].iloc[0])
-        fit = (t >= c.warmup) & (t < a - c.h - 1) & np.isfinite(target) & (realised > 0)
+        fit = fit_rows(t, a, c) & np.isfinite(target) & (realised > 0)
         tried = []
         for hl in halflives:
             f = np.log(np.maximum(ewma_variance(r, hl), floor))
             x = realised[fit] / np.exp(f[fit])
             tried.append((float(np.mean(x - np.log(x) - 1)) if fit.any() else np.inf, f))
         ewma = min(tried, key=lambda v: v[0])[1]
-        known = r[1 : max(a, 2)]
-        g = fit_garch(known)
+        g = fit_garch(r[fit_rows(t, a, c)])
         nxt, _ = garch_variance(r, g[0], g[1], g[2], g[3])
         garch = np.log(np.maximum(garch_horizon(nxt, g, c.h), floor))
         out = t >= a
@@ -162,14 +162,14 @@ def tail_forecasts(data: DataFrame, analogue: DataFrame, bounds: DataFrame, c: V
         pdf = pdf.sort_values("t")
         t, a = pdf["t"].to_numpy(), int(pdf["a"].iloc[0])
         tail, event, r = pdf["tail"].to_numpy(float), pdf["jump"].to_numpy(bool), pdf["r"].to_numpy(float)
-        fit = (t >= c.warmup) & (t < a - c.h - 1) & np.isfinite(tail)
+        fit = fit_rows(t, a, c) & np.isfinite(tail)
         rate = pd.Series(event.astype(float)).rolling(window).mean().to_numpy()
         x = np.log(np.maximum(ewma_variance(r, halflife), 1e-300)) - np.log(pdf["long"].to_numpy(float))
         w0, w1 = logistic_fit(x[fit], tail[fit]) if fit.any() else (0.0, 0.0)
         made = {
             "Constant": np.full(len(t), tail[fit].mean() if fit.any() else np.nan),
             "Poisson": 1 - np.exp(-c.h * rate),
-            "Hawkes": hawkes_probability(event, *fit_hawkes(event[:a]), c.h),
+            "Hawkes": hawkes_probability(event, *fit_hawkes(event[(t >= c.warmup) & (t < a)]), c.h),
             "Logistic-EWMA": 1 / (1 + np.exp(-np.clip(w0 + w1 * x, -30, 30))),
             "Analogue": pdf["tail_probability"].to_numpy(float),
         }
@@ -198,19 +198,19 @@ def var_forecasts(data: DataFrame, bounds: DataFrame, c: VolConfig, alpha: float
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t").reset_index(drop=True)
         t, a, r = pdf["t"].to_numpy(), int(pdf["a"].iloc[0]), pdf["r"].to_numpy(float)
-        g = fit_garch(r[1 : max(a, 2)])
+        fit = fit_rows(t, a, c)
+        g = fit_garch(r[fit])
         nxt, _ = garch_variance(r, g[0], g[1], g[2], g[3])
         sd = np.sqrt(nxt)  # of the bar after
-        z = np.r_[0.0, r[1:] / sd[:-1]]
+        z = r / np.r_[np.sqrt(g[3]), sd[:-1]]
         out = np.flatnonzero(t >= a)
         hs_q, hs_e = rolling_tail(r, hs_window, alpha) if len(r) >= hs_window else (np.full(len(r), np.nan),) * 2
         zn = NORMAL.inv_cdf(alpha)
         es_n = -np.exp(-zn * zn / 2) / np.sqrt(2 * np.pi) / alpha
-        nu = fit_nu(z[1 : max(a, 3)])
+        nu = fit_nu(z[fit])
         scale = np.sqrt((nu - 2) / nu)
         qt = student_ppf(alpha, nu)
-        grid = (np.arange(400) + 0.5) / 400 * alpha
-        es_t = float(np.mean([student_ppf(p, nu) for p in grid[::8]])) * scale
+        es_t = -float(np.exp(student_logpdf(qt, nu))) / alpha * (nu + qt * qt) / (nu - 1) * scale
         made: dict[str, list] = {m: [] for m in ("HS", "GARCH-N", "GARCH-t", "FHS", "Analogue", "Blend")}
         for i in out:
             fq, fe = tail_of_sorted(np.sort(z[max(1, c.warmup // 2) : i + 1]), alpha)
@@ -237,13 +237,4 @@ def common_sample(forecasts: DataFrame, value: str, models: int) -> DataFrame:
     return forecasts.join(all_there, ["series_id", "t"], "left_semi")
 
 
-def losses_by_model(losses: DataFrame, make, schema: str, models: list[str] | None = None) -> DataFrame:
-    """Long losses (series_id, t, model, loss) pivoted to one array a model and handed to make(series, {model: losses})."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="t", columns="model", values="loss").sort_index().dropna()
-        return make(pdf["series_id"].iloc[0], {m: wide[m].to_numpy(float) for m in (models or sorted(wide.columns))})
-
-    return losses.select("series_id", "t", "model", "loss").groupBy("series_id").applyInPandas(run, T._parse_datatype_string(schema))
-
-
 __all__ = ["FLOOR", "bias_correct", "common_sample", "gbm_forecast", "har_forecast", "rolling_har", "tail_forecasts", "var_forecasts", "walk_forward"]

@@ -252,19 +252,27 @@ def folds(bars: DataFrame, warmup: int, k: int = 5, least: int = 500, share: flo
 def overlay(data: DataFrame, fit_end: int, warmup: int, cap: float, band: float, cost: float, kind: str = "vol", gate: str | None = None) -> DataFrame:
     """w and ret of a position sized by forecast variance (column variance, with r and close).
 
-    The target is the mean squared return of [warmup, fit_end). The weight moves only if the wanted one is
-    more than ``band`` away; a bar earns the weight of the bar before, and pays for its change.
+    The target is the mean variance (column rv where there is one, else squared returns) of [warmup, fit_end).
+    The weight is 0 up to fit_end and moves only if the wanted one is more than ``band`` away; a bar earns the
+    weight of the bar before, and pays for its change.
     """
     from tidemark.functions.recurrences import along_series, sticky_weight
 
-    fit = data.filter((F.col("t") >= warmup) & (F.col("t") < fit_end)).groupBy("series_id").agg(F.avg(F.col("r") * F.col("r")).alias("goal"))
+    fit = data.filter((F.col("t") >= warmup) & (F.col("t") < fit_end)).groupBy("series_id").agg(F.avg(F.col("rv") if "rv" in data.columns else F.col("r") * F.col("r")).alias("goal"))
     ratio = F.col("goal") / F.col("variance")
     raw = F.coalesce(F.sqrt(ratio) if kind == "vol" else ratio, F.lit(0.0))
     raw = F.greatest(F.lit(0.0), F.least(F.lit(cap), raw))
     if gate:
         raw = F.when(F.coalesce(F.col(gate), F.lit(False)), 0.0).otherwise(raw)
     wide = data.join(fit, "series_id").withColumn("raw", raw)
-    sized = along_series(wide, {"w": "double"}, lambda p: {"w": sticky_weight(p["raw"].to_numpy(float), band)})
+
+    def weights(p: pd.DataFrame) -> dict[str, np.ndarray]:
+        on = p["t"].to_numpy() >= fit_end
+        w = np.zeros(len(p))
+        w[on] = sticky_weight(p["raw"].to_numpy(float)[on], band)
+        return {"w": w}
+
+    sized = along_series(wide, {"w": "double"}, weights)
     w = W.ordered()
     held, before = F.coalesce(F.lag("w").over(w), F.lit(0.0)), F.coalesce(F.lag("w", 2).over(w), F.lit(0.0))
     simple = F.coalesce(F.col("close") / F.lag("close").over(w) - 1, F.lit(0.0))

@@ -96,9 +96,14 @@ def long_enough(spark, d):
     return S.long_enough(T.hourly(spark, d), 170).select("series_id", "t", "close")
 
 
-@query(f"WITH {T.HOURLY} SELECT series_id, CAST(count(*) AS BIGINT) AS n_rows, 64 AS digest_length FROM bars GROUP BY 1")
+def _ten_digits(x: str) -> str:
+    return f"format('{{:.' || CASE WHEN {x} = 0 THEN 9 ELSE 9 - CAST(floor(log10(abs({x}))) AS INTEGER) END || 'f}}', CAST({x} AS DOUBLE))"
+
+
+@query(f"""WITH {T.HOURLY}, l AS (SELECT series_id, CAST(ts AS DATE) AS day, concat_ws(',', strftime(ts, '%Y-%m-%d %H:%M:%S'), {", ".join(_ten_digits(c) for c in (*S.PRICES, "volume"))}) AS line FROM bars),
+  n AS (SELECT series_id, day, count(*) AS n, sha256(string_agg(line, chr(10) ORDER BY line)) AS d FROM l GROUP BY 1, 2) SELECT series_id, CAST(sum(n) AS BIGINT) AS n_rows, sha256(string_agg(d, '' ORDER BY day)) AS sha256 FROM n GROUP BY 1""")
 def data_digest(spark, d):
-    return S.digest(T.hourly(spark, d)).select("series_id", "n_rows", F.length("sha256").alias("digest_length"))
+    return S.digest(T.hourly(spark, d)).select("series_id", "n_rows", "sha256")
 
 
 # ---- windows
@@ -158,14 +163,15 @@ def embed_returns(spark, d):
 
 
 def _shape_sql(h: int, m: int, digits: int) -> str:
-    return ", ".join(f"round(ln(greatest({T.whole('avg(r * r)', 'r', T.rows(h, q * h), h)}, 0.001 * lv)) - ln(lv), {digits}) AS e{m - 1 - q}" for q in range(m - 1, -1, -1))
+    span = lambda q: T.whole("avg(r * r)", "r", T.rows(h, q * h), h)
+    return ", ".join(f"round(ln(greatest({span(q)}, 0.001 * lv) + 0 * {span(q)}) - ln(lv), {digits}) AS e{m - 1 - q}" for q in range(m - 1, -1, -1))
 
 
 H = C.h
 DATA = f"""{T.RETURNS}, {T.ewma_sql('el', C.long_halflife)}, {STATE},
 d0 AS (SELECT s.*, el.v AS lv, {T.whole('avg(s.r * s.r)', 's.r', T.ahead(H), H).replace('PARTITION BY series_id ORDER BY t', 'PARTITION BY s.series_id ORDER BY s.t')} AS realised,
   coalesce(abs(s.r) > 3.0 * sqrt(lag(el.v) OVER (PARTITION BY s.series_id ORDER BY s.t)), false) AS jump FROM st s JOIN el ON el.series_id = s.series_id AND el.t = s.t),
-data AS (SELECT *, ln(greatest(realised, 0.001 * lv)) AS target, CASE WHEN realised IS NOT NULL THEN max(CAST(jump AS INTEGER)) OVER ({T.W} {T.ahead(H)}) END AS tail, {_shape_sql(H, C.m, 9)} FROM d0)"""
+data AS (SELECT *, ln(greatest(realised, 0.001 * lv) + 0 * realised) AS target, CASE WHEN realised IS NOT NULL THEN max(CAST(jump AS INTEGER)) OVER ({T.W} {T.ahead(H)}) END AS tail, {_shape_sql(H, C.m, 9)} FROM d0)"""
 
 
 def _data(spark, d):
@@ -267,7 +273,7 @@ def _pairs_sql(regime: bool) -> str:
     same = "len(list_filter(a, lambda z: z.s = x.s))" if regime else "len(a)"
     return f"""
 ask AS (SELECT * FROM data WHERE t >= {C.warmup} AND e0 + e1 + e2 + e3 IS NOT NULL),
-own AS (SELECT *, target - ln(lv) AS y0, CAST(tail AS DOUBLE) AS y1 FROM data WHERE e0 + e1 + e2 + e3 IS NOT NULL AND target IS NOT NULL AND tail IS NOT NULL),
+own AS (SELECT *, target - ln(lv) AS y0, CAST(tail AS DOUBLE) AS y1 FROM data WHERE e0 + e1 + e2 + e3 IS NOT NULL AND target IS NOT NULL AND tail IS NOT NULL AND t >= {C.embedded}),
 cand AS (SELECT q.series_id, q.t, o.t AS j, o.state, o.y0, o.y1, (o.e0 - q.e0) * (o.e0 - q.e0) + (o.e1 - q.e1) * (o.e1 - q.e1) + (o.e2 - q.e2) * (o.e2 - q.e2) + (o.e3 - q.e3) * (o.e3 - q.e3) AS dist
   FROM ask q JOIN own o ON o.series_id = q.series_id AND o.t <= q.t - {H}),
 lists AS (SELECT series_id, t, list(struct_pack(j := j, s := state, d := dist) ORDER BY dist, j) AS l FROM cand GROUP BY 1, 2),
@@ -337,15 +343,15 @@ def kernel_block_ess(spark, d):
     return A.forecast(_framed(spark, d), V.engine_of(C.but(bandwidth=0.6, kernel_block=True)), C.m, 2).select("series_id", "t", *six("mean_0", "se_0", "n_used"))
 
 
-@query("""WITH v AS (SELECT vec_id AS t, list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE)) AS e, CAST(label AS DOUBLE) AS y FROM embeddings),
-  c AS (SELECT q.t, o.t AS j, o.y, list_sum(list_transform(range(1, 9), lambda i: (o.e[i] - q.e[i]) * (o.e[i] - q.e[i]))) AS d FROM v q JOIN v o ON o.t <= q.t - 10 WHERE q.t >= 100 AND q.t < 600),
+@query("""WITH v AS (SELECT vec_id AS t, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e, CAST(label AS DOUBLE) AS y FROM embeddings),
+  c AS (SELECT q.t, o.t AS j, o.y, list_sum(list_transform(range(1, 65), lambda i: (o.e[i] - q.e[i]) * (o.e[i] - q.e[i]))) AS d FROM v q JOIN v o ON o.t <= q.t - 10 WHERE q.t >= 100),
   l AS (SELECT t, list(struct_pack(j := j, y := y, d := d) ORDER BY d, j) AS l FROM c GROUP BY 1),
   g AS (SELECT t, list_reduce(list_transform(l, lambda x: [x]), lambda a, x: CASE WHEN len(a) < 5 AND len(list_filter(a, lambda z: abs(z.j - x[1].j) < 3)) = 0 THEN list_concat(a, x) ELSE a END) AS got FROM l),
   p AS (SELECT t, unnest(got, recursive := true) FROM g)
   SELECT t, round(avg(y), 6) AS mean_0, round(sqrt(var_samp(y) / count(*)), 6) AS se_0, CAST(count(*) AS DOUBLE) AS n_used FROM p GROUP BY 1""")
 def analogue_embeddings(spark, d):
-    df = spark.read.parquet(f"{d}/embeddings.parquet").filter("vec_id < 600").select(F.lit("v").alias("series_id"), F.col("vec_id").alias("t"), F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("emb"), F.array(F.col("label").cast("double")).alias("y"))
-    made = A.Analogue(k=5, k_min=2, horizon=10, exclusion=3, warmup=100).forecast(df, 8, 1)
+    df = spark.read.parquet(f"{d}/embeddings.parquet").select(F.lit("v").alias("series_id"), F.col("vec_id").alias("t"), F.transform("embedding", lambda x: x.cast("double")).alias("emb"), F.array(F.col("label").cast("double")).alias("y"))
+    made = A.Analogue(k=5, k_min=2, horizon=10, exclusion=3, warmup=100).forecast(df, 64, 1)
     return made.select("t", *six("mean_0", "se_0"), "n_used")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import inference as I
 from tidemark.functions import losses as L
+from tidemark.functions import resampling as S
 from tidemark.functions import windows as W
 from tidemark.operators import models as M
 from tidemark.operators import trades as B
@@ -16,7 +17,7 @@ from tidemark.operators import volatility as V
 
 from . import tables as T
 from .bars_queries import C, _data, six
-from .trade_queries import _analogue, _direction, _folds, _losses
+from .trade_queries import _analogue, _direction, _folds, _losses, against_har
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -36,28 +37,29 @@ def query(sql: str | None = None):
 @query()
 def e1_direction_skill(spark, d):
     """Rank correlation of forecast and realised outcomes, and Brier skill of the up forecast."""
-    _, lab, made = _direction(spark, d)
-    x = made.join(lab, ["series_id", "t"]).filter("r_long IS NOT NULL")
+    bars, lab, made = _direction(spark, d)
+    start = B.folds(bars, 250, least=100).groupBy("series_id").agg(F.min("a").alias("cal"))
+    all_ = lab.join(start, "series_id").join(made, ["series_id", "t"], "left")
+    x = all_.filter("t >= cal AND r_long IS NOT NULL AND mean_0 IS NOT NULL")
     ic = L.spearman(x, ["series_id"], "mean_0", "r_long").withColumnRenamed("ic", "ic_long").join(L.spearman(x, ["series_id"], "mean_1", "r_short").withColumnRenamed("ic", "ic_short"), "series_id")
-    base = x.groupBy("series_id").agg(F.avg("up").alias("b"), F.avg(L.brier(F.col("mean_2"), F.col("up"))).alias("brier"))
-    return ic.join(base, "series_id").select("series_id", "ic_long", "ic_short", (1 - F.col("brier") / (F.col("b") * (1 - F.col("b")))).alias("brier_skill"))
+    scored = (F.col("t") >= F.col("cal")) & F.col("r_long").isNotNull() & F.col("mean_0").isNotNull()
+    skill = L.brier_skill(all_, ["series_id"], "mean_2", "up", (F.col("t") >= 250) & (F.col("t") < F.col("cal")), scored)
+    return ic.join(skill.withColumnRenamed("skill", "brier_skill"), "series_id", "left")
 
 
-def volatility_table(losses: DataFrame, draws: int, horizon: int) -> DataFrame:
+def volatility_table(losses: DataFrame, models: int, draws: int) -> DataFrame:
     """QLIKE, its ratio to HAR's, p of the confidence set and of the test against HAR, per series and model."""
-
-    def one(series, x):
-        p = I.model_confidence_set(x, draws, 20, 0)
-        har = float(x["HAR"].mean())
-        rows = [(series, m, float(v.mean()), float(v.mean()) / har, p[m], *(I.diebold_mariano(x["HAR"], v, horizon) if m != "HAR" else (0.0, 1.0))) for m, v in x.items()]
-        return pd.DataFrame(rows, columns=["series_id", "model", "qlike", "ratio", "mcs_p", "dm", "dm_p"])
-
-    return M.losses_by_model(losses, one, "series_id string, model string, qlike double, ratio double, mcs_p double, dm double, dm_p double")
+    chosen = S.confidence_set(losses, models, draws, 20)
+    har = losses.filter("model = 'HAR'").groupBy("series_id").agg(F.avg("loss").alias("_har"))
+    tested = against_har(losses).select("series_id", "model", "dm", F.col("p").alias("dm_p"))
+    return chosen.join(har, "series_id").join(tested, ["series_id", "model"], "left").select(
+        "series_id", "model", F.col("mean").alias("qlike"), (F.col("mean") / F.col("_har")).alias("ratio"), F.col("p").alias("mcs_p"), F.coalesce("dm", F.lit(0.0)).alias("dm"), F.coalesce("dm_p", F.lit(1.0)).alias("dm_p")
+    )
 
 
 @query()
 def e2_volatility(spark, d):
-    return volatility_table(_losses(spark, d), 200, C.h)
+    return volatility_table(_losses(spark, d), 5, 200)
 
 
 @query()
@@ -95,17 +97,15 @@ def e5_overlay(spark, d):
     data, ana = _analogue(spark, d)
     start = C.warmup + 100
     w = W.ordered()
-    hold = data.select("series_id", "t", F.coalesce(F.col("close") / F.lag("close").over(w) - 1, F.lit(0.0)).alias("ret"), F.lit(1.0).alias("w")).filter(F.col("t") >= start).withColumn("strategy", F.lit("Buy & hold"))
-    parts = [hold]
+    hold = data.select("series_id", "t", F.coalesce(F.col("close") / F.lag("close").over(w) - 1, F.lit(0.0)).alias("ret"), F.lit(1.0).alias("w")).filter(F.col("t") >= start)
+    parts = {"Buy & hold": hold}
     variance = {"Vol target: EWMA": data.select("series_id", "t", (F.col("sigma") ** 2).alias("variance")), "Vol target: Analogue": ana.select("series_id", "t", F.exp("log_variance").alias("variance"))}
     for name, v in variance.items():
         sized = B.overlay(data.select("series_id", "t", "close", "r").join(v, ["series_id", "t"], "left"), start, C.warmup, 1.0, 0.1, 0.0005)
-        parts.append(sized.filter(F.col("t") >= start).select("series_id", "t", "ret", "w").withColumn("strategy", F.lit(name)))
+        parts[name] = sized.filter(F.col("t") >= start).select("series_id", "t", "ret", "w")
     out = None
-    for p in parts:
-        name = p.select("strategy").first()["strategy"]
-        # hourly returns of these series are wild: a hundredth of them keeps wealth positive
-        row = L.summary(p.withColumn("ret", F.col("ret") * 0.01), "ret", 252, "w").withColumn("strategy", F.lit(name))
+    for name, p in parts.items():
+        row = L.summary(p, "ret", 252, "w").withColumn("strategy", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return out
 

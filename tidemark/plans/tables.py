@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from tidemark.sources.bars import numbered, ticks_to_bars
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df, worked out once: a checkpoint in the folder that the cluster shares. Only a session without one gets its own."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
 def events(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
 
@@ -83,10 +92,4 @@ def ahead(n: int) -> str:
     return f"ROWS BETWEEN 1 FOLLOWING AND {n} FOLLOWING"
 
 
-def sorted_numbers(df: DataFrame, column: str) -> DataFrame:
-    """Average ranks of a column over the whole frame, in ``rank``; ties share the mean of their places."""
-    w = Window.orderBy(column)
-    return df.withColumn("rank", F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy(column)) - 1) / 2)
-
-
-__all__ = ["ahead", "atr_sql", "daily", "events", "ewma_sql", "hourly", "numbered", "order_days", "quarter_hours", "rows", "sorted_numbers", "whole"]
+__all__ = ["ahead", "atr_sql", "daily", "events", "ewma_sql", "hourly", "kept", "numbered", "order_days", "quarter_hours", "rows", "whole"]

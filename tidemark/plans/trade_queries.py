@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
-from tidemark.functions import inference as I
 from tidemark.functions import losses as L
 from tidemark.functions import recurrences as R
+from tidemark.functions import resampling as S
 from tidemark.functions import windows as W
 from tidemark.operators import analogue as A
 from tidemark.operators import models as M
@@ -71,10 +70,14 @@ LG = B.Legacy(lookback=200, scan=100)
     sum(CASE WHEN was = 1 AND state = 1 THEN 1 ELSE 0 END) OVER v AS n11, sum(jumped) OVER ({T.W} {T.rows(200)}) / 200 AS rate FROM p WINDOW v AS ({T.W} ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING)),
   k AS (SELECT q.series_id, q.t, o.won, row_number() OVER (PARTITION BY q.series_id, q.t ORDER BY abs(o.move - q.move), o.t DESC) AS n FROM q JOIN q o ON o.series_id = q.series_id AND o.t BETWEEN q.t - 100 AND q.t - 21 AND o.move IS NOT NULL WHERE q.t >= 231),
   m AS (SELECT series_id, t, sum(won) AS wins FROM k WHERE n <= 10 GROUP BY 1, 2),
-  z AS (SELECT q.series_id, q.t, wins, wins * 10.0::DOUBLE AS prior, CASE WHEN state = 1 THEN n11 / greatest(n10 + n11, 1) ELSE n00 / greatest(n00 + n01, 1) END AS stay, 100 * (1 - exp(-rate * 20)) AS pj FROM q JOIN m USING (series_id, t))
-  SELECT series_id, t, CAST(wins AS BIGINT) AS wins, round(prior * stay + 50 * (1 - stay), 6) AS score, round(pj, 6) AS jump_chance FROM z""")
+  z AS (SELECT q.series_id, q.t, atr, wins, wins * 10.0::DOUBLE AS prior, wins / 10.0::DOUBLE AS share, CASE WHEN state = 1 THEN n11 / greatest(n10 + n11, 1) ELSE n00 / greatest(n00 + n01, 1) END AS stay, 100 * (1 - exp(-rate * 20)) AS pj FROM q JOIN m USING (series_id, t)),
+  b AS (SELECT *, prior * stay + 50 * (1 - stay) AS score, share + 3.8416::DOUBLE / 20 AS mid, 1.96::DOUBLE * sqrt(share * (1 - share) / 10 + 3.8416::DOUBLE / 400) AS half, 2.5::DOUBLE * atr * CASE WHEN pj >= 10 AND pj < 50 THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END AS stop FROM z),
+  e AS (SELECT *, greatest(score, 100 - score) / 100 AS best, 100 * greatest(0, (mid - half) / 1.38416::DOUBLE) AS low, 100 * least(1, (mid + half) / 1.38416::DOUBLE) AS high FROM b),
+  f AS (SELECT *, least(10, greatest(0, 50 * (best - (1 - best) / (stop * 1.5::DOUBLE / greatest(stop, 0.0001::DOUBLE))))) AS kelly FROM e)
+  SELECT series_id, t, CAST(wins AS BIGINT) AS wins, round(score, 6) AS score, round(pj, 6) AS jump_chance, round(stop, 6) AS stop, round(greatest(kelly, 0.01::DOUBLE) / 100, 6) AS size,
+    CAST(CASE WHEN pj >= 50 OR kelly <= 0 THEN 0 WHEN low >= 65 AND score >= 65 THEN 1 WHEN 100 - high >= 65 AND 100 - score >= 65 THEN -1 ELSE 0 END AS TINYINT) AS dir FROM f""")
 def legacy_signals(spark, d):
-    return B.legacy_signals(_atr(spark, d), LG).select("series_id", "t", F.col("wins").cast("long").alias("wins"), *six("score", "jump_chance"))
+    return B.legacy_signals(_atr(spark, d), LG).select("series_id", "t", F.col("wins").cast("long").alias("wins"), *six("score", "jump_chance", "stop", "size"), "dir")
 
 
 @query()
@@ -150,7 +153,8 @@ def folds(spark, d):
 
 @query(f"""WITH RECURSIVE {T.HOURLY}, {T.RETURNS}, {T.ewma_sql('e', 20)}, g AS (SELECT series_id, avg(r * r) AS goal FROM rets WHERE t >= 50 AND t < 200 GROUP BY 1),
   raw AS (SELECT x.series_id, x.t, x.close, greatest(0, least(2.0::DOUBLE, coalesce(sqrt(goal / v), 0))) AS raw FROM rets x JOIN e USING (series_id, t) JOIN g USING (series_id)),
-  w AS (SELECT series_id, t, CASE WHEN raw > 0.25 THEN raw ELSE 0.0::DOUBLE END AS w FROM raw WHERE t = 0 UNION ALL SELECT r.series_id, r.t, CASE WHEN abs(r.raw - w.w) > 0.25 THEN r.raw ELSE w.w END FROM w JOIN raw r ON r.series_id = w.series_id AND r.t = w.t + 1),
+  v AS (SELECT series_id, t, CASE WHEN raw > 0.25 THEN raw ELSE 0.0::DOUBLE END AS w FROM raw WHERE t = 200 UNION ALL SELECT r.series_id, r.t, CASE WHEN abs(r.raw - v.w) > 0.25 THEN r.raw ELSE v.w END FROM v JOIN raw r ON r.series_id = v.series_id AND r.t = v.t + 1),
+  w AS (SELECT series_id, t, coalesce(v.w, 0.0::DOUBLE) AS w FROM bars LEFT JOIN v USING (series_id, t)),
   z AS (SELECT w.*, coalesce(lag(w) OVER ({T.W}), 0) AS held, coalesce(lag(w, 2) OVER ({T.W}), 0) AS was FROM w),
   c AS (SELECT series_id, t, coalesce(close / lag(close) OVER ({T.W}) - 1, 0) AS s FROM bars)
   SELECT series_id, t, round(w, 6) AS w, round(held * s - abs(held - was) * 0.0005::DOUBLE, 6) AS ret FROM z JOIN c USING (series_id, t)""")
@@ -171,8 +175,13 @@ def trade_match_outer(spark, d):
 
 
 # ---- models
+def _har_part(n: int) -> str:
+    mean = T.whole("avg(r * r)", "r", T.rows(n), n)
+    return f"ln(greatest({mean}, 0.001 * lv) + 0 * {mean})"
+
+
 HAR = f"""{T.HOURLY}, {DATA}, {FOLDS},
-hv AS (SELECT *, ln(greatest({T.whole('avg(r * r)', 'r', T.rows(1), 1)}, 0.001 * lv)) AS h1, ln(greatest({T.whole('avg(r * r)', 'r', T.rows(5), 5)}, 0.001 * lv)) AS h2, ln(greatest({T.whole('avg(r * r)', 'r', T.rows(22), 22)}, 0.001 * lv)) AS h3 FROM data)"""
+hv AS (SELECT *, {_har_part(1)} AS h1, {_har_part(5)} AS h2, {_har_part(22)} AS h3 FROM data)"""
 
 
 @query(f"""WITH RECURSIVE {HAR}, k AS (SELECT h.*, f.fold FROM hv h JOIN fd f USING (series_id) WHERE h.t < f.a - {C.h} - 1 AND h.t >= {C.warmup} AND h.target IS NOT NULL AND h1 + h2 + h3 IS NOT NULL)
@@ -202,8 +211,8 @@ def bias_correct(spark, d):
 
 
 def _analogue(spark, d):
-    data = _data(spark, d)
-    return data, V.analogue_volatility(data, C)
+    data = T.kept(_data(spark, d))
+    return data, T.kept(V.analogue_volatility(data, C))
 
 
 @query()
@@ -215,25 +224,24 @@ def walk_forward(spark, d):
 def _losses(spark, d):
     data, ana = _analogue(spark, d)
     made = M.walk_forward(data, ana, _folds(spark, d), C).join(data.select("series_id", "t", "realised", "long"), ["series_id", "t"]).filter("realised > 0")
-    return M.common_sample(made.withColumn("loss", L.qlike(F.col("realised"), F.col("log_variance"))), "loss", 5)
+    return M.common_sample(T.kept(made.withColumn("loss", L.qlike(F.col("realised"), F.col("log_variance")))), "loss", 5)
+
+
+def against_har(losses):
+    """Every other model's loss against HAR's on the same bars: above 0 if it is better."""
+    har = losses.filter("model = 'HAR'").select("series_id", "t", F.col("loss").alias("_har"))
+    apart = losses.filter("model <> 'HAR'").join(har, ["series_id", "t"]).select("series_id", "model", "t", (F.col("_har") - F.col("loss")).alias("gain"))
+    return L.newey_west(apart, "gain", C.h, ("series_id", "model"))
 
 
 @query()
 def mcs(spark, d):
-    def one(series, losses):
-        p = I.model_confidence_set(losses, 200, 20, 0)
-        return pd.DataFrame([(series, m, float(losses[m].mean()), p[m]) for m in losses], columns=["series_id", "model", "qlike", "mcs_p"])
-
-    return M.losses_by_model(_losses(spark, d), one, "series_id string, model string, qlike double, mcs_p double")
+    return S.confidence_set(_losses(spark, d), 5, 200, 20).select("series_id", "model", F.col("mean").alias("qlike"), F.col("p").alias("mcs_p"))
 
 
 @query()
 def dm_tests(spark, d):
-    def one(series, losses):
-        rows = [(series, m, "HAR", *I.diebold_mariano(losses["HAR"], losses[m], C.h)) for m in losses if m != "HAR"]
-        return pd.DataFrame(rows, columns=["series_id", "model", "vs", "stat", "p"])
-
-    return M.losses_by_model(_losses(spark, d), one, "series_id string, model string, vs string, stat double, p double")
+    return against_har(_losses(spark, d)).select("series_id", "model", F.lit("HAR").alias("vs"), F.col("dm").alias("stat"), "p")
 
 
 @query()
@@ -253,16 +261,21 @@ def gbm_forecast(spark, d):
 
 
 # ---- losses and tests
+def erf_sql(x: str) -> str:
+    """The error function by logarithms of its series' terms."""
+    return f"least(1.0::DOUBLE, CASE WHEN ({x}) <= 0 THEN 0.0::DOUBLE WHEN ({x}) >= 6 THEN 1.0::DOUBLE ELSE 2 / sqrt(pi()) * exp(-({x}) * ({x})) * list_sum(list_transform(range(0, 141), lambda k: exp(2 * k * ln(2.0::DOUBLE) + (2 * k + 1) * ln(greatest({x}, 1e-300::DOUBLE)) + lgamma(k + 1.0::DOUBLE) - lgamma(2 * k + 2.0::DOUBLE)))) END)"
+
+
 @query(f"WITH RECURSIVE {T.HOURLY}, {DATA}, q AS (SELECT series_id, realised / exp(ln(lv)) AS x FROM data WHERE realised > 0) SELECT series_id, count(*) AS n, round(avg(x - ln(x) - 1), 6) AS qlike FROM q GROUP BY 1")
 def qlike(spark, d):
     return _data(spark, d).filter("realised > 0").groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(L.qlike(F.col("realised"), F.log("long"))), 6).alias("qlike"))
 
 
-PY = "py AS (SELECT l_linestatus AS g, l_discount * 10 AS p, CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y FROM lineitem)"
+PY = "py AS (SELECT l_linestatus AS g, l_linenumber AS n, l_discount * 10 AS p, CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y FROM lineitem)"
 
 
 def _py(spark, d):
-    return spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_linestatus").alias("g"), (F.col("l_discount") * 10).alias("p"), (F.col("l_returnflag") == "R").cast("double").alias("y"))
+    return spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_linestatus").alias("g"), F.col("l_linenumber").alias("n"), (F.col("l_discount") * 10).alias("p"), (F.col("l_returnflag") == "R").cast("double").alias("y"))
 
 
 @query(f"""WITH {PY}, k AS (SELECT *, greatest(0.000001::DOUBLE, least(0.999999::DOUBLE, p)) AS q, rank() OVER (PARTITION BY g ORDER BY p) + (count(*) OVER (PARTITION BY g, p) - 1) / 2.0::DOUBLE AS r FROM py)
@@ -273,22 +286,30 @@ def logloss_brier_auc(spark, d):
     return means.join(L.auc(df, ["g"], "p", "y"), "g").select("g", "log_loss", "brier", *six("auc"))
 
 
-@query(f"""WITH {T.DAILY}, x AS (SELECT series_id, t, coalesce(close / lag(close) OVER ({T.W}) - 1, 0) * 0.01::DOUBLE AS r FROM bars),
-  e AS (SELECT *, exp(sum(ln(1 + r)) OVER ({T.W})) AS eq FROM x), m AS (SELECT *, eq / greatest(max(eq) OVER ({T.W}), 1) - 1 AS dd FROM e), c AS (SELECT series_id, quantile_cont(r, 0.05) AS cut FROM x GROUP BY 1)
-  SELECT series_id, round(avg(r) / stddev_samp(r) * sqrt(252), 6) AS sharpe, round(exp(sum(ln(1 + r)) * 252 / count(*)) - 1, 6) AS ann_ret, round(stddev_pop(r) * sqrt(252), 6) AS ann_vol, round(min(dd), 6) AS max_dd,
+@query(f"""WITH {T.DAILY}, x AS (SELECT series_id, t, coalesce(close / lag(close) OVER ({T.W}) - 1, 0) AS r FROM bars),
+  e AS (SELECT *, product(1 + r) OVER ({T.W}) AS eq FROM x), m AS (SELECT *, eq / max(eq) OVER ({T.W}) - 1 AS dd FROM e), c AS (SELECT series_id, quantile_cont(r, 0.05) AS cut FROM x GROUP BY 1)
+  SELECT series_id, round(avg(r) / stddev_samp(r) * sqrt(252), 6) AS sharpe, round(pow(product(1 + r), 252 / count(*)) - 1, 6) AS ann_ret, round(stddev_pop(r) * sqrt(252), 6) AS ann_vol, round(min(dd), 6) AS max_dd,
   round(avg(CASE WHEN r <= cut THEN r END), 6) AS cvar FROM m JOIN c USING (series_id) GROUP BY 1""")
 def sharpe_drawdown_cvar(spark, d):
-    x = T.daily(spark, d).withColumn("r", F.coalesce(F.col("close") / F.lag("close").over(W.ordered()) - 1, F.lit(0.0)) * 0.01)
+    x = T.daily(spark, d).withColumn("r", F.coalesce(F.col("close") / F.lag("close").over(W.ordered()) - 1, F.lit(0.0)))
     return L.summary(x, "r", 252).select("series_id", *six("sharpe", "ann_ret", "ann_vol", "max_dd", "cvar"))
 
 
 @query(f"""WITH {T.HOURLY}, {T.RETURNS}, x AS (SELECT series_id, t, r * r - abs(r) AS d FROM rets), y AS (SELECT *, d - avg(d) OVER (PARTITION BY series_id) AS x FROM x),
   z AS (SELECT *, lag(x, 1) OVER ({T.W}) AS l1, lag(x, 2) OVER ({T.W}) AS l2, lag(x, 3) OVER ({T.W}) AS l3 FROM y),
   s AS (SELECT series_id, avg(d) AS mean, count(*) AS n, (sum(x * x) + 1.5::DOUBLE * sum(x * l1) + 1.0::DOUBLE * sum(x * l2) + 0.5::DOUBLE * sum(x * l3)) / count(*) / count(*) AS variance FROM z GROUP BY 1)
-  SELECT series_id, round(mean, 6) AS mean, round(variance, 6) AS variance, round(mean / sqrt(variance), 6) AS dm FROM s""")
+  SELECT series_id, round(mean, 6) AS mean, round(variance, 6) AS variance, round(mean / sqrt(variance), 6) AS dm, round(1 - {erf_sql('abs(mean) / sqrt(2 * variance)')}, 6) AS p FROM s""")
 def newey_west_dm(spark, d):
     x = _returns(spark, d).withColumn("d", F.col("r") * F.col("r") - F.abs("r"))
-    return L.newey_west(x, "d", 3).select("series_id", *six("mean", "variance", "dm"))
+    return L.newey_west(x, "d", 3).select("series_id", *six("mean", "variance", "dm", "p"))
+
+
+@query(f"""WITH {T.HOURLY}, {T.RETURNS}, m AS (SELECT series_id, avg(r) AS m, stddev_samp(r) AS sd, count(*) AS n FROM rets GROUP BY 1),
+  c AS (SELECT series_id, any_value(m) / any_value(sd) AS sr, any_value(n) AS n, avg(pow(r - m, 3)) / pow(avg(pow(r - m, 2)), 1.5::DOUBLE) AS g3, avg(pow(r - m, 4)) / pow(avg(pow(r - m, 2)), 2) AS g4 FROM rets JOIN m USING (series_id) GROUP BY 1),
+  z AS (SELECT series_id, sr, sr * sqrt(n - 1) / sqrt(1 - g3 * sr + (g4 - 1) / 4 * sr * sr) / sqrt(2) AS z FROM c)
+  SELECT series_id, round(sr, 6) AS sr, round((1 + sign(z) * {erf_sql('abs(z)')}) / 2, 6) AS psr FROM z""")
+def probabilistic_sharpe(spark, d):
+    return L.probabilistic_sharpe(_returns(spark, d), ["series_id"], "r").select("series_id", *six("sr", "psr"))
 
 
 @query(f"""WITH {T.HOURLY}, {T.RETURNS}, x AS (SELECT series_id, r, volume, rank() OVER (PARTITION BY series_id ORDER BY r) + (count(*) OVER (PARTITION BY series_id, r) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY series_id ORDER BY volume) + (count(*) OVER (PARTITION BY series_id, volume) - 1) / 2.0::DOUBLE AS b FROM rets)
@@ -297,10 +318,9 @@ def spearman_ic(spark, d):
     return L.spearman(_returns(spark, d), ["series_id"], "r", "volume").select("series_id", *six("ic"))
 
 
-@query(f"""WITH {PY}, b AS (SELECT g, avg(y) AS base, avg((p - y) * (p - y)) AS brier FROM py GROUP BY 1) SELECT py.g, round(1 - any_value(brier) / avg((base - y) * (base - y)), 6) AS skill FROM py JOIN b USING (g) GROUP BY 1""")
+@query(f"""WITH {PY}, b AS (SELECT g, avg(y) AS base FROM py WHERE n <= 2 GROUP BY 1) SELECT py.g, round(1 - avg((p - y) * (p - y)) / avg((base - y) * (base - y)), 6) AS skill FROM py JOIN b USING (g) WHERE n > 2 GROUP BY 1""")
 def brier_skill(spark, d):
-    df = _py(spark, d)
-    return df.groupBy("g").agg(F.avg("y").alias("base"), F.avg(L.brier(F.col("p"), F.col("y"))).alias("b"), F.avg(F.col("y") * F.col("y")).alias("y2")).select("g", F.round(1 - F.col("b") / (F.col("y2") - F.col("base") * F.col("base")), 6).alias("skill"))
+    return L.brier_skill(_py(spark, d), ["g"], "p", "y", F.col("n") <= 2, F.col("n") > 2).select("g", *six("skill"))
 
 
 @query(f"""WITH v AS (SELECT l_suppkey AS k, l_extendedprice AS v, sum(l_quantity) AS w FROM lineitem GROUP BY 1, 2), c AS (SELECT *, sum(w) OVER (PARTITION BY k ORDER BY v) AS c, sum(w) OVER (PARTITION BY k) AS tot FROM v),
@@ -319,10 +339,10 @@ HIT = "hit AS (SELECT series_id, t, CASE WHEN r < -1.0 THEN 1 ELSE 0 END AS h FR
   q AS (SELECT *, -2 * (x * ln(0.2::DOUBLE) + (n - x) * ln(0.8::DOUBLE) - CASE WHEN x > 0 AND x < n THEN x * ln(x / n) + (n - x) * ln(1 - x / n) ELSE 0 END) AS lr_uc,
     greatest(0, -2 * ((CASE WHEN n00 + n10 > 0 THEN (n00 + n10) * ln(1 - pp) ELSE 0 END + CASE WHEN n01 + n11 > 0 THEN (n01 + n11) * ln(pp) ELSE 0 END)
     - (CASE WHEN n00 > 0 THEN n00 * ln(1 - p01) ELSE 0 END + CASE WHEN n01 > 0 THEN n01 * ln(p01) ELSE 0 END + CASE WHEN n10 > 0 THEN n10 * ln(1 - p11) ELSE 0 END + CASE WHEN n11 > 0 THEN n11 * ln(p11) ELSE 0 END))) AS lr_ind FROM p)
-  SELECT series_id, round(lr_uc, 6) AS lr_uc, round(lr_ind, 6) AS lr_ind, round(lr_uc + lr_ind, 6) AS lr_cc, round(exp(-(lr_uc + lr_ind) / 2), 6) AS p_cc FROM q""")
+  SELECT series_id, round(lr_uc, 6) AS lr_uc, round(lr_ind, 6) AS lr_ind, round(lr_uc + lr_ind, 6) AS lr_cc, round(exp(-(lr_uc + lr_ind) / 2), 6) AS p_cc, round(1 - {erf_sql('sqrt(greatest(lr_uc, 0) / 2)')}, 6) AS p_uc FROM q""")
 def kupiec_christoffersen(spark, d):
     x = _returns(spark, d).withColumn("hit", F.col("r") < -1.0)
-    return L.christoffersen(x, "hit", 0.2, ["series_id"]).select("series_id", *six("lr_uc", "lr_ind", "lr_cc", "p_cc"))
+    return L.christoffersen(x, "hit", 0.2, ["series_id"]).select("series_id", *six("lr_uc", "lr_ind", "lr_cc", "p_cc", "p_uc"))
 
 
 @query(f"""WITH {T.HOURLY}, {T.RETURNS} SELECT series_id, round(avg((0.025::DOUBLE - CASE WHEN r <= -1.5 THEN 1 ELSE 0 END) * (r + 1.5)), 6) AS tick,
