@@ -349,6 +349,13 @@ def test_words_of_bytes():
     assert seen[0][0] == one("a") and seen[0][2] == one("c") and seen[3][0] != seen[3][1] and seen[4][0] == seen[4][1]
 
 
+def test_katz_cells_come_back_whole():
+    for x in (np.array([3, -1, 1 << 62, -(1 << 63)]), np.array([0.1, -2.5]), np.arange(7, dtype=np.int32), np.zeros(0, np.int64)):
+        for starts in ([0], [0, len(x) // 2]):
+            cells = katz._planes(np.array(starts), x)
+            assert np.array_equal(np.concatenate([katz._numbers(c, x.dtype) for c in cells]), x)
+
+
 def test_katz_over_all_words_and_pairs(spark):
     """By default nothing is merged or cut: every word is an entry, pairs seen once count; the cache changes nothing."""
     rng = random.Random(16)
