@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .blockmax import OP13_SQL, op13_block_max
+from .decontamination import OP11_SQL, op11_decontamination
 from .dedup import OP8_SQL, op8_exact_dedup
 from .jaccard import op4_jaccard_join
 from .katz import op6_katz
@@ -12,6 +14,7 @@ from .packing import op7_packing
 from .sharding import op3_sharding
 from .token_counts import op9_token_counts
 from .toxicity import op2_toxicity
+from .vector_codes import OP12_SQL, op12_vector_codes
 
 QUERIES = {
     "op1_mixing": op1_mixing,
@@ -24,9 +27,15 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_maxscore_topk": op10_maxscore_topk,
+    "op11_decontamination": op11_decontamination,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_block_max": op13_block_max,
 }
 ORACLES = {
     "op1_mixing": OP1_SQL,
     "op8_exact_dedup": OP8_SQL,
     "op10_maxscore_topk": OP10_SQL,
+    "op11_decontamination": OP11_SQL,
+    "op12_vector_codes": OP12_SQL,
+    "op13_block_max": OP13_SQL,
 }

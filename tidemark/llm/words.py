@@ -8,6 +8,7 @@ different words meet with a chance of 2**-64.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,9 @@ PLACES = 64
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Bytes other than ASCII letters, digits and those of characters beyond ASCII.
+NOT_ALNUM = np.ones(256, bool)
+NOT_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _LOWER = np.arange(256, dtype=np.int64)
 _LOWER[65:91] += 32
 _TABLE = np.random.default_rng(20240229).integers(0, 2**64, PLACES * 256, dtype=np.uint64)
@@ -46,26 +50,46 @@ def text_chunks(texts: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int,
         lo = hi
 
 
+@dataclass(frozen=True)
+class Words:
+    """Words in text order: hash, row, first byte; their letters follow each other without gaps, word i's at begins[i]."""
+
+    hashes: np.ndarray
+    rows: np.ndarray
+    starts: np.ndarray
+    begins: np.ndarray
+    lengths: np.ndarray
+    letters: np.ndarray
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, row of each word), in text order."""
-    word = ~_SPACE[data]
+    w = split_words(data, offsets)
+    return w.hashes, w.rows
+
+
+def split_words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> Words:
+    """The words of a chunk; ``between`` marks the bytes that no word holds."""
+    word = ~between[data]
     before = np.zeros(len(data), bool)
     before[1:] = word[:-1]
     first = offsets[:-1]
     before[first[first < len(data)]] = False
     starts = np.flatnonzero(word & ~before)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
+        return Words(none.astype(np.uint64), none, none, none, none, none.astype(np.uint8))
     at = np.flatnonzero(word)
     begins = np.searchsorted(at, starts)
     lengths = np.diff(np.r_[begins, len(at)])
     place = np.arange(len(at)) - np.repeat(begins, lengths)
-    value = _TABLE[((place & (PLACES - 1)) << 8) + _LOWER[data[at]]]
+    letters = _LOWER[data[at]]
+    value = _TABLE[((place & (PLACES - 1)) << 8) + letters]
     if lengths.max() > PLACES:
         far = np.flatnonzero(place >= PLACES)
         value[far] = mix(value[far] + (place[far] // PLACES).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
     hashes = mix(np.add.reduceat(value, begins))
-    return hashes, np.searchsorted(offsets, starts, side="right") - 1
+    return Words(hashes, np.searchsorted(offsets, starts, side="right") - 1, starts, begins, lengths, letters.astype(np.uint8))
 
 
 def shingles(hashes: np.ndarray, rows: np.ndarray, n_rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
