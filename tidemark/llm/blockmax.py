@@ -31,7 +31,7 @@ from .words import NOT_ALNUM, split_words, text_chunks
 
 BLOCK = 128
 #: A shard ends with the document that reaches one of these.
-SHARD_ROWS, SHARD_WORDS = 8192, 4_000_000
+SHARD_ROWS, SHARD_WORDS = 8192, 1_500_000
 #: Query terms in a block of queries.
 QUERY_TERMS = 16_384
 #: Decoded postings that a group keeps.
@@ -210,6 +210,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             n = np.concatenate([h[3] for h in held])
             shift = np.cumsum([0, *(len(h[0]) for h in held[:-1])])
             terms, at = np.concatenate([h[1] for h in held]), np.concatenate([h[2] + s for h, s in zip(held, shift, strict=True)])
+            held.clear()
             order = pc.sort_indices(ids, null_placement="at_end").to_numpy()
             number = np.empty(len(order), np.int64)
             number[order] = np.arange(len(order))
