@@ -105,16 +105,20 @@ def summary(df: DataFrame, r: str, per_year: float, weight: str | None = None, q
     )
 
 
-def probabilistic_sharpe(df: DataFrame, by: list[str], r: str, against: float = 0.0) -> DataFrame:
-    """sr (a bar) and psr per group: the chance that the true ratio is above ``against``, from four moment sums."""
+def probabilistic_sharpe(df: DataFrame, by: list[str], r: str, against: float | str = 0.0) -> DataFrame:
+    """sr (a bar) and psr per group: the chance that the true ratio is above ``against``, from four moment sums.
+
+    against: a number, or a column that is the same for all rows of a group."""
+    own = isinstance(against, str)
     m = F.avg(r).over(Window.partitionBy(*by))
     x = df.withColumn("_x", F.col(r) - m)
     power = lambda k: F.avg(F.pow("_x", F.lit(float(k)))).alias(f"m{k}")
-    s = x.groupBy(*by).agg(F.count(r).alias("n"), F.avg(r).alias("m"), F.stddev_samp(r).alias("sd"), power(2), power(3), power(4)).filter("sd > 0")
+    level = F.first(F.col(against)) if own else F.lit(float(against))
+    s = x.groupBy(*by).agg(F.count(r).alias("n"), F.avg(r).alias("m"), F.stddev_samp(r).alias("sd"), power(2), power(3), power(4), level.alias("_against")).filter("sd > 0")
     sr = F.col("m") / F.col("sd")
     skew, tails = F.col("m3") / F.pow("m2", F.lit(1.5)), F.col("m4") / (F.col("m2") * F.col("m2"))
     spread = F.greatest(1 - skew * sr + (tails - 1) / 4 * sr * sr, F.lit(1e-12))
-    return s.select(*by, sr.alias("sr"), normal_cdf((sr - against) * F.sqrt(F.col("n") - 1) / F.sqrt(spread)).alias("psr"))
+    return s.select(*by, sr.alias("sr"), normal_cdf((sr - F.col("_against")) * F.sqrt(F.col("n") - 1) / F.sqrt(spread)).alias("psr"))
 
 
 def newey_west(df: DataFrame, d: str, lag: int, by: tuple[str, ...] = ("series_id",)) -> DataFrame:

@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from tidemark.functions.windows import markov_high
 
@@ -175,12 +176,17 @@ def _walk(asks: pd.DataFrame, history: pd.DataFrame, e: Engine, m: int, p: int)
         yield int(t), row, d, anchors[lo:hi], states[lo:hi], y[lo:hi]
 
 
-def forecast(df: DataFrame, e: Engine, m: int, p: int) -> DataFrame:
+def forecast(df: DataFrame, e: Engine, m: int, p: int, only: DataFrame | None = None) -> DataFrame:
     """df(series_id, t, emb array of m, y array of p, state) -> means, standard errors, n_used and pi_high.
 
     Bars without a forecast are absent. Missing is NULL in emb and y; a bar's own targets are never used.
+    only(series_id, t): bars to forecast, where not all are wanted.
     """
     asks, history = _blocks(_mixed(df, e), e, m, p)
+    if only is not None:
+        asks = asks.join(only, ["series_id", "t"], "left_semi")
+        blocks = asks.select("series_id", "block").distinct()
+        history = history.join(blocks, ["series_id", "block"], "left_semi")
     names = [*(f"mean_{i}" for i in range(p)), *(f"se_{i}" for i in range(p)), "n_used", "pi_high"]
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -219,6 +225,33 @@ def neighbours(df: DataFrame, e: Engine, m: int, p: int) -> DataFrame:
     return asks.groupBy("series_id", "block").cogroup(history.groupBy("series_id", "block")).applyInPandas(run, "series_id string, t long, grp int, rank int, anchor_t long, distance double, weight double")
 
 
+def at_or_after(bars: DataFrame, times: DataFrame, at: str = "ts") -> DataFrame:
+    """series_id, when and t of the first bar at or after each time; times(series_id, when). Absent after the last bar.
+
+    Only each partition's own first bar travels."""
+    met = bars.select("series_id", "t", F.col(at).alias("_at")).join(times, "series_id").filter(F.col("_at") >= F.col("when"))
+    return met.groupBy("series_id", "when").agg(F.min_by("t", "_at").alias("t"))
+
+
+def nearest_to(df: DataFrame, asked: DataFrame, k: int, exclusion: int, delay: int, first: int = 0) -> DataFrame:
+    """series_id, t, rank, anchor_t and distance of the k nearest earlier bars of a few bars, regimes pooled.
+
+    df(series_id, t, emb, y) as for ``forecast``; asked(series_id, t). An anchor taken bars at most 2 (exclusion - 1)
+    others from the choice, so k anchors are found among the (k - 1) (2 exclusion - 1) + 1 nearest: only that head
+    is sorted and walked, whatever the length of the history, and the self-join is over the asked bars alone."""
+    head = (k - 1) * max(2 * exclusion - 1, 1) + 1
+    now = df.join(asked, ["series_id", "t"], "left_semi").select("series_id", F.col("t").alias("_t"), F.col("emb").alias("_x")).filter(F.col("_x").isNotNull())
+    whole = F.col("emb").isNotNull() & F.forall("emb", lambda v: v.isNotNull()) & F.forall("y", lambda v: v.isNotNull())
+    past = df.filter(whole & (F.col("t") >= first)).join(now, "series_id").filter(F.col("t") <= F.col("_t") - delay)
+    apart = F.aggregate(F.zip_with("emb", "_x", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    order = Window.partitionBy("series_id", "_t").orderBy("distance", "t")
+    near = past.select("series_id", "_t", "t", apart.alias("distance")).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= head)
+    lists = near.groupBy("series_id", F.col("_t").alias("t")).agg(F.array_sort(F.collect_list(F.struct("distance", F.col("t").alias("anchor_t")))).alias("l"))
+    free = lambda taken, x: (F.size(taken) < k) & F.forall(taken, lambda z: F.abs(z["anchor_t"] - x["anchor_t"]) >= exclusion)
+    walk = F.aggregate("l", F.slice("l", 1, 0), lambda taken, x: F.when(free(taken, x), F.concat(taken, F.array(x))).otherwise(taken))
+    return lists.select("series_id", "t", F.posexplode(walk).alias("rank", "a")).select("series_id", "t", (F.col("rank") + 1).alias("rank"), "a.anchor_t", "a.distance")
+
+
 def _mixed(df: DataFrame, e: Engine) -> DataFrame:
     if not e.regime:
         return df.withColumn("state", F.lit(0).cast("tinyint")).withColumn("pi_high", F.lit(0.0))

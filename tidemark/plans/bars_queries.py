@@ -12,22 +12,13 @@ from tidemark.operators import volatility as V
 from tidemark.sources import bars as S
 
 from . import tables as T
+from .registry import Registry
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+query = Registry()
+QUERIES, ORACLES = query.queries, query.oracles
 C = V.SHORT
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 def six(*names: str) -> list:
     return [F.round(n, 6).alias(n) for n in names]
 

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import inference as I
+from tidemark.functions import distributions as P
 from tidemark.functions import losses as L
 from tidemark.functions import resampling as S
 from tidemark.functions import windows as W
@@ -17,20 +15,11 @@ from tidemark.operators import volatility as V
 
 from . import tables as T
 from .bars_queries import C, _data, six
+from .registry import Registry
 from .trade_queries import _analogue, _direction, _folds, _losses, against_har
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+query = Registry()
+QUERIES, ORACLES = query.queries, query.oracles
 
 
 
@@ -155,11 +144,8 @@ def hypothesis_tests(q: DataFrame) -> DataFrame:
     names = [m for m in wide.columns if m not in ("series_id", "HAR")]
     long = wide.select("series_id", F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.log(F.col(f"`{m}`") / F.col("HAR")).alias("x")) for m in names))).alias("z")).select("series_id", "z.*")
 
-    def one(pdf):
-        w, p = I.wilcoxon(pdf["x"].to_numpy(float))
-        return pd.DataFrame([(pdf["model"].iloc[0], len(pdf), float(np.exp(pdf["x"].median())), w, p)], columns=["model", "series", "median_ratio", "w_plus", "p"])
-
-    tested = long.groupBy("model").applyInPandas(one, "model string, series long, median_ratio double, w_plus double, p double")
+    middle = long.groupBy("model").agg(F.count("x").alias("series"), F.exp(F.percentile("x", F.lit(0.5))).alias("median_ratio"))
+    tested = middle.join(P.signed_rank(long, ["model"], "x"), "model", "left").select("model", "series", "median_ratio", "w_plus", "p")
     return L.holm(tested.withColumn("p", F.coalesce("p", F.lit(1.0))), "p")
 
 

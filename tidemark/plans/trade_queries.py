@@ -15,19 +15,10 @@ from tidemark.operators import volatility as V
 
 from . import tables as T
 from .bars_queries import COUNTS, DATA, STATE, C, _data, _returns, six
+from .registry import Registry
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+query = Registry()
+QUERIES, ORACLES = query.queries, query.oracles
 
 
 def _atr(spark, d):
