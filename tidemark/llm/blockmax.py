@@ -51,10 +51,12 @@ def varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def from_varints(data: np.ndarray) -> np.ndarray:
+    if not len(data):
+        return np.zeros(0, np.int64)
     last = np.flatnonzero(data < 128)
     first = np.r_[0, last[:-1] + 1]
     place = np.arange(len(data)) - np.repeat(first, last - first + 1)
-    return np.add.reduceat((data & 127).astype(np.int64) << (7 * place), first) if len(data) else np.zeros(0, np.int64)
+    return np.add.reduceat((data & 127).astype(np.int64) << (7 * place), first)
 
 
 def impact(tf: np.ndarray, m: np.ndarray) -> np.ndarray:
