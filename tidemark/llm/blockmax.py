@@ -31,7 +31,11 @@ from .words import NOT_ALNUM, split_words, text_chunks
 
 BLOCK = 128
 #: A shard ends with the document that reaches one of these.
-SHARD_ROWS, SHARD_WORDS = 8192, 1_500_000
+SHARD_ROWS, SHARD_WORDS = 8192, 1_000_000
+#: Rows and bytes of text that are worked on at a time.
+ROWS, CHUNK = 512, 1 << 20
+#: Groups of a shard and a block of queries in a task.
+GROUPS = 4
 #: Query terms in a block of queries.
 QUERY_TERMS = 16_384
 #: Decoded postings that a group keeps.
@@ -236,13 +240,15 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             kinds = {"term": pa.int64(), "df": pa.int32(), "top": pa.list_(pa.int32()), "last": pa.binary(), "sizes": pa.binary(), "bounds": pa.binary(), "data": pa.binary(), "ids": pa.list_(batch.column(0).type), "n": pa.binary(), "docs": pa.int64(), "words": pa.int64()}
             types = [("shard", pa.int64()), *kinds.items(), ("kind", pa.string())]
-            for lo, hi, data, offsets in text_chunks(batch.column(1)):
-                w = split_words(data, offsets, NOT_ALNUM)
-                held.append((batch.column(0).slice(lo, hi - lo), w.hashes, w.rows, np.bincount(w.rows, minlength=hi - lo)))
-                rows, words = rows + hi - lo, words + len(w.hashes)
-                if rows >= shard_rows or words >= shard_words:
-                    yield from flush()
-                    held, rows, words, made = [], 0, 0, made + 1
+            for first in range(0, batch.num_rows, ROWS):
+                part = batch.slice(first, ROWS)
+                for lo, hi, data, offsets in text_chunks(part.column(1), CHUNK):
+                    w = split_words(data, offsets, NOT_ALNUM)
+                    held.append((part.column(0).slice(lo, hi - lo), w.hashes, w.rows.astype(np.int32), np.bincount(w.rows, minlength=hi - lo)))
+                    rows, words = rows + hi - lo, words + len(w.hashes)
+                    if rows >= shard_rows or words >= shard_words:
+                        yield from flush()
+                        held, rows, words, made = [], 0, 0, made + 1
         if held:
             yield from flush()
 
@@ -322,6 +328,9 @@ def search(index: Index, queries: DataFrame, k: int = 20, block_terms: int = QUE
         join = lambda i: np.concatenate([*(f[i] for f in found), np.zeros(0, np.int64)]).astype(np.int64)
         return pa.table({"item": items.dictionary.take(pa.array(join(0))), "id": ids.take(pa.array(join(1))), "score": join(2)})
 
+    # the work of a group does not show in its bytes: partitions are set by the number of groups
+    parts = max(1, -(-pairs.count() // GROUPS))
+    left, right = left.repartition(parts, "shard", "block"), right.repartition(parts, "shard", "block")
     heaps = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(rank, f"item {item_type}, id {id_type}, score long")
     order = Window.partitionBy("item").orderBy(F.desc("score"), F.col("id").asc_nulls_last())
     return heaps.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("item", "rank", "id", "score")
