@@ -59,9 +59,9 @@ def bootstrap_sums(df: DataFrame, values: list[str], draws: int, block: float |
     return each.select("series_id", "model", "draw", "n", *again, *(f"{v}_all" for v in values))
 
 
-def bootstrap_means(losses: DataFrame, draws: int, block: float, seed: int = 0) -> DataFrame:
+def bootstrap_means(losses: DataFrame, draws: int, block: float | None, seed: int = 0, blocks: DataFrame | None = None) -> DataFrame:
     """series_id, model, draw, mean of the draw (``again``) and of the rows (``mean``)."""
-    s = bootstrap_sums(losses, ["loss"], draws, block, seed)
+    s = bootstrap_sums(losses, ["loss"], draws, block, seed, blocks)
     return s.select("series_id", "model", "draw", (F.col("loss_again") / F.col("n")).alias("again"), (F.col("loss_all") / F.col("n")).alias("mean"))
 
 
@@ -92,14 +92,14 @@ def sharpe_difference(df: DataFrame, against: str, per_year: float, draws: int,
     )
 
 
-def confidence_set(losses: DataFrame, models: int, draws: int, block: float, seed: int = 0) -> DataFrame:
+def confidence_set(losses: DataFrame, models: int, draws: int, block: float | None, seed: int = 0, blocks: DataFrame | None = None) -> DataFrame:
     """series_id, model, mean and p of losses(series_id, t, model, loss), with at most ``models`` models a series.
 
     The worst model by its studentised distance from the mean of those left goes first; p never falls from one
     removal to the next, and the last model has 1. A series' table is draws x models rows, whatever its length.
     """
     of_draw, of_model, of_series = (Window.partitionBy("series_id", *c) for c in (["draw"], ["model"], []))
-    x = bootstrap_means(losses, draws, block, seed).withColumns({"noise": F.col("again") - F.col("mean"), "level": F.lit(0.0), "p": F.lit(None).cast("double")})
+    x = bootstrap_means(losses, draws, block, seed, blocks).withColumns({"noise": F.col("again") - F.col("mean"), "level": F.lit(0.0), "p": F.lit(None).cast("double")})
     for _ in range(models - 1):
         left = F.col("p").isNull()
         centred = lambda c: F.when(left, F.col(c) - F.avg(F.when(left, F.col(c))).over(of_draw))  # noqa: B023, E731

@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import distributions as P
 from tidemark.functions import losses as L
 from tidemark.functions import resampling as S
 from tidemark.functions import windows as W
+from tidemark.operators import gate as G
 from tidemark.operators import models as M
+from tidemark.operators import reports as Q
 from tidemark.operators import trades as B
 from tidemark.operators import volatility as V
 
 from . import tables as T
 from .bars_queries import C, _data, six
 from .registry import Registry
-from .trade_queries import _analogue, _direction, _folds, _losses, against_har
+from .trade_queries import _analogue, _direction, _folds, _losses, _walked, against_har
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -51,13 +52,13 @@ def e2_volatility(spark, d):
     return volatility_table(_losses(spark, d), 5, 200)
 
 
-@query()
-def e3_ablation(spark, d):
-    """Mean QLIKE of variants of the analogue forecast over that of the plain one; ``mean`` closes the table."""
-    data = _data(spark, d)
+def _ablation(spark, d, only: tuple[str, ...] | None = None):
+    data = T.kept(_data(spark, d))
     variants = {"base": C, "m=2": C.but(m=2), "no regime": C.but(regime=False), "no exclusion": C.but(exclusion=0), "kernel": C.but(bandwidth=0.6), "recent": C.but(lookback=300)}
     parts = []
     for name, c in variants.items():
+        if only and name not in only:
+            continue
         own = data if c.m == C.m else V.vol_data(T.hourly(spark, d), c)
         made = V.analogue_volatility(own, c).filter("realised > 0")
         parts.append(made.select("series_id", "t", F.lit(name).alias("variant"), L.qlike(F.col("realised"), F.col("log_variance")).alias("loss")))
@@ -71,9 +72,13 @@ def e3_ablation(spark, d):
 
 
 @query()
-def e4_tail(spark, d):
-    """Base rate, log loss, Brier score and area under the curve of five jump models on common bars."""
-    data, ana = _analogue(spark, d)
+def e3_ablation(spark, d):
+    """Mean QLIKE of variants of the analogue forecast over that of the plain one; ``mean`` closes the table."""
+    return _ablation(spark, d)
+
+
+def _tails(spark, d, base=None):
+    data, ana = base or _analogue(spark, d)
     made = M.tail_forecasts(data, ana, _folds(spark, d), C).join(data.select("series_id", "t", "tail"), ["series_id", "t"]).filter("tail IS NOT NULL")
     x = M.common_sample(made, "p", 5)
     s = x.groupBy("series_id", "model").agg(F.avg("tail").alias("base_rate"), F.avg(L.log_loss(F.col("p"), F.col("tail"))).alias("log_loss"), F.avg(L.brier(F.col("p"), F.col("tail"))).alias("brier"))
@@ -81,22 +86,60 @@ def e4_tail(spark, d):
 
 
 @query()
-def e5_overlay(spark, d):
-    """Buy and hold against positions sized by forecast variance, from the end of the first fold's fit on."""
-    data, ana = _analogue(spark, d)
+def e4_tail(spark, d):
+    """Base rate, log loss, Brier score and area under the curve of five jump models on common bars."""
+    return _tails(spark, d)
+
+
+TARGETS = ("EWMA", "GARCH", "HAR", "Analogue", "Analogue+HAR")
+
+
+def overlay_returns(data: DataFrame, forecasts: DataFrame, start: int, gated: DataFrame) -> DataFrame:
+    """series_id, t, model (the strategy), r and w from bar ``start`` on: holding, a variance target by each model, one
+    by the inverse variance, and one that the jump gate closes. forecasts(series_id, t, model, log_variance),
+    gated(series_id, t, gate)."""
+    bars = data.select("series_id", "t", "close", "r")
+    known = forecasts.select("series_id", "t", "model", F.exp("log_variance").alias("variance"))
+
+    def sized(names: list[str], label: str, kind: str = "vol", gate: DataFrame | None = None) -> DataFrame:
+        wide = bars.withColumn("model", F.explode(F.array(*(F.lit(m) for m in names)))).join(known, ["series_id", "t", "model"], "left")
+        if gate is not None:
+            wide = wide.join(gate, ["series_id", "t"], "left")
+        wide = wide.withColumn("series_id", F.concat("series_id", F.lit("|"), "model")).drop("model")
+        out = B.overlay(wide, start, C.warmup, 1.0, 0.1, 0.0005, kind, "gate" if gate is not None else None)
+        name = F.concat(F.lit(label), F.split_part("series_id", F.lit("|"), F.lit(2)), F.lit(" + gate" if gate is not None else ""))
+        return out.select(F.split_part("series_id", F.lit("|"), F.lit(1)).alias("series_id"), "t", name.alias("model"), F.col("ret").alias("r"), "w")
+
+    hold = bars.select("series_id", "t", F.lit("Buy & hold").alias("model"), F.coalesce(F.col("close") / F.lag("close").over(W.ordered()) - 1, F.lit(0.0)).alias("r"), F.lit(1.0).alias("w"))
+    own = [TARGETS[-1]]
+    parts = [hold, sized(list(TARGETS), "Vol target: "), sized(own, "Kelly: ", "kelly"), sized(own, "Vol target: ", gate=gated)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.filter(F.col("t") >= start)
+
+
+def overlay_table(returns: DataFrame, per_year: float, draws: int, block: float) -> DataFrame:
+    """A row a series and strategy: summary, and the difference of Sharpe ratios to holding with its p."""
+    keyed = returns.withColumn("series_id", F.concat("series_id", F.lit("|"), "model"))
+    summed = L.summary(keyed, "r", per_year, "w").withColumns({"strategy": F.split_part("series_id", F.lit("|"), F.lit(2)), "series_id": F.split_part("series_id", F.lit("|"), F.lit(1))})
+    tested = S.sharpe_difference(returns.select("series_id", "t", "model", "r"), "Buy & hold", per_year, draws, block).select("series_id", F.col("model").alias("strategy"), "diff", "p")
+    return summed.join(tested, ["series_id", "strategy"], "left").select("series_id", "strategy", "sharpe", "diff", "p", "ann_ret", "ann_vol", "max_dd", "cvar", "calmar", "exposure", "turnover")
+
+
+def _overlay(spark, d, walked=None):
+    data, _, made = walked or _walked(spark, d)
     start = C.warmup + 100
-    w = W.ordered()
-    hold = data.select("series_id", "t", F.coalesce(F.col("close") / F.lag("close").over(w) - 1, F.lit(0.0)).alias("ret"), F.lit(1.0).alias("w")).filter(F.col("t") >= start)
-    parts = {"Buy & hold": hold}
-    variance = {"Vol target: EWMA": data.select("series_id", "t", (F.col("sigma") ** 2).alias("variance")), "Vol target: Analogue": ana.select("series_id", "t", F.exp("log_variance").alias("variance"))}
-    for name, v in variance.items():
-        sized = B.overlay(data.select("series_id", "t", "close", "r").join(v, ["series_id", "t"], "left"), start, C.warmup, 1.0, 0.1, 0.0005)
-        parts[name] = sized.filter(F.col("t") >= start).select("series_id", "t", "ret", "w")
-    out = None
-    for name, p in parts.items():
-        row = L.summary(p, "ret", 252, "w").withColumn("strategy", F.lit(name))
-        out = row if out is None else out.unionByName(row)
-    return out
+    forecasts = made.select("series_id", "t", "model", "log_variance")
+    span = data.groupBy("series_id").agg(F.lit(0).alias("fold"), F.lit(start).cast("long").alias("a"), (F.max("t") + 1).alias("b"))
+    gated = G.gate(G.jump_probability(data, span, "hawkes", C.h, C.warmup), C.warmup, C.gate_q).select("series_id", "t", (~F.col("allowed")).alias("gate"))
+    return overlay_table(T.kept(overlay_returns(data, forecasts, start, gated)), 252, 200, 2 * C.h)
+
+
+@query()
+def e5_overlay(spark, d):
+    """Eight strategies, from the end of the first fold's fit on: holding, and positions sized by forecast variance."""
+    return _overlay(spark, d)
 
 
 @query()
@@ -138,20 +181,43 @@ def e10_intraday_rv(spark, d):
     return made.select("series_id", "t", *six("log_variance", "realised"))
 
 
-def hypothesis_tests(q: DataFrame) -> DataFrame:
-    """q(series_id, model, qlike): does each model's log ratio to HAR differ from 0? Signed ranks, Holm-adjusted."""
-    wide = q.groupBy("series_id").pivot("model", ["HAR", "EWMA", "GARCH", "Analogue", "Analogue+HAR"]).agg(F.first("qlike"))
-    names = [m for m in wide.columns if m not in ("series_id", "HAR")]
-    long = wide.select("series_id", F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.log(F.col(f"`{m}`") / F.col("HAR")).alias("x")) for m in names))).alias("z")).select("series_id", "z.*")
+def _risk(spark, d, alpha: float) -> DataFrame:
+    """Losses of six value-at-risk models on their common bars."""
+    nxt = _data(spark, d).select("series_id", "t", F.lead("r").over(W.ordered()).alias("y"))
+    made = M.var_forecasts(_data(spark, d), _folds(spark, d), C, alpha, 100).join(nxt, ["series_id", "t"]).filter("y IS NOT NULL AND es < 0")
+    return M.common_sample(made, "var", 6).withColumn("loss", L.fz0_loss(F.col("y"), F.col("var"), F.col("es"), alpha))
+
 
-    middle = long.groupBy("model").agg(F.count("x").alias("series"), F.exp(F.percentile("x", F.lit(0.5))).alias("median_ratio"))
-    tested = middle.join(P.signed_rank(long, ["model"], "x"), "model", "left").select("model", "series", "median_ratio", "w_plus", "p")
-    return L.holm(tested.withColumn("p", F.coalesce("p", F.lit(1.0))), "p")
+def _gbm_ratio(data: DataFrame, losses: DataFrame, fit_end: int = 400) -> DataFrame:
+    """series_id, x: log of the boosted trees' mean loss over that of HAR, on the bars that both forecast."""
+    trees = M.gbm_forecast(data, fit_end, C, trees=3, depth=3).withColumnRenamed("log_variance", "tree")
+    har = losses.filter("model = 'HAR'").select("series_id", "t", "realised", F.col("loss").alias("har"))
+    both = har.join(trees, ["series_id", "t"]).withColumn("gbm", L.qlike(F.col("realised"), F.col("tree")))
+    return both.groupBy("series_id").agg(F.log(F.avg("gbm") / F.avg("har")).alias("x"))
 
 
 @query()
 def hypotheses(spark, d):
-    return hypothesis_tests(_losses(spark, d).groupBy("series_id", "model").agg(F.avg("loss").alias("qlike")))
+    """The eight hypotheses, each with its statistic, number of series, p and p after Holm."""
+    apart = lambda df, key, value, a, b: df.groupBy("series_id").pivot(key, [a, b]).agg(F.first(value)).select("series_id", F.col(f"`{a}`").alias("a"), F.col(f"`{b}`").alias("b"))
+    ratio, gap = F.log(F.col("a") / F.col("b")).alias("x"), (F.col("a") - F.col("b")).alias("x")
+    walked = _walked(spark, d)
+    losses = T.kept(_losses(spark, d, walked))
+    q = T.kept(losses.groupBy("series_id", "model").agg(F.avg("loss").alias("qlike")))
+    kernel = _ablation(spark, d, ("base", "kernel")).filter("series_id <> 'mean' AND variant = 'kernel'").select("series_id", F.log("ratio").alias("x"))
+    tails = apart(_tails(spark, d, walked[:2]), "model", "log_loss", "Hawkes", "Poisson")
+    risk = apart(_risk(spark, d, 0.025).groupBy("series_id", "model").agg(F.avg("loss").alias("fz0")), "model", "fz0", "Blend", "FHS")
+    drawdown = apart(_overlay(spark, d, walked), "strategy", "max_dd", "Vol target: Analogue+HAR", "Buy & hold")
+    samples = {
+        "H1": e1_direction_skill(spark, d).select("series_id", F.col("ic_long").alias("x")), "H2": apart(q, "model", "qlike", "Analogue+HAR", "HAR").select("series_id", ratio),
+        "H3": apart(q, "model", "qlike", "Analogue", "HAR").select("series_id", ratio), "H4": kernel, "H5": _gbm_ratio(walked[0], losses),
+        "H6": tails.select("series_id", ratio), "H7": risk.select("series_id", gap), "H8": drawdown.select("series_id", gap),
+    }
+    long = None
+    for name, x in samples.items():
+        x = x.withColumn("id", F.lit(name))
+        long = x if long is None else long.unionByName(x)
+    return Q.hypothesis_table(T.kept(long))
 
 
 @query()

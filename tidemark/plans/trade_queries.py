@@ -212,10 +212,16 @@ def walk_forward(spark, d):
     return M.walk_forward(data, ana, _folds(spark, d), C)
 
 
-def _losses(spark, d):
+def _walked(spark, d):
+    """Inputs, analogue forecasts and all models' walk-forward forecasts, each worked out once."""
     data, ana = _analogue(spark, d)
-    made = M.walk_forward(data, ana, _folds(spark, d), C).join(data.select("series_id", "t", "realised", "long"), ["series_id", "t"]).filter("realised > 0")
-    return M.common_sample(T.kept(made.withColumn("loss", L.qlike(F.col("realised"), F.col("log_variance")))), "loss", 5)
+    return data, ana, T.kept(M.walk_forward(data, ana, _folds(spark, d), C))
+
+
+def _losses(spark, d, walked=None):
+    data, _, made = walked or _walked(spark, d)
+    scored = made.join(data.select("series_id", "t", "realised", "long"), ["series_id", "t"]).filter("realised > 0")
+    return M.common_sample(T.kept(scored.withColumn("loss", L.qlike(F.col("realised"), F.col("log_variance")))), "loss", 5)
 
 
 def against_har(losses):

@@ -30,6 +30,12 @@ def resample(bars: DataFrame, rule: str) -> DataFrame:
     return numbered(coarse)
 
 
+def resample_to(bars: DataFrame, length: str) -> DataFrame:
+    """Coarser bars of a length such as ``4 hours``, closed and labelled on the left, counted from the epoch."""
+    coarse = bars.groupBy("series_id", F.window("ts", length)["start"].alias("ts")).agg(F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"), F.sum("volume").alias("volume"))
+    return numbered(coarse)
+
+
 def clean(bars: DataFrame, order: list[str]) -> DataFrame:
     """First of each series' duplicate times (by ``order``), then only complete and valid bars.
 
