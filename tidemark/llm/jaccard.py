@@ -489,9 +489,12 @@ def _asking(large: DataFrame, joined: DataFrame) -> DataFrame:
     more than half of its slack may pass over all of them: were both to pass over all that they share, that
     would take more than the slack of either.
     """
-    rows = _with_component(large, joined).select(F.explode("sigs").alias("sig"), "cls", "component", "slack")
+    # a set whose buckets all together cost no more than half of its slack never has to ask
+    whole = F.aggregate("sigs", F.lit(0).cast("long"), lambda a, sig: a + 1 + sig.bitwiseAND(1))
+    may = (F.col("slack") >= 0) & (2 * whole > F.col("slack"))
+    rows = _with_component(large, joined).select(F.explode("sigs").alias("sig"), "cls", "component", "slack", may.alias("may"))
     main = rows.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("sig").agg(F.max(F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
-    minor = rows.join(main.filter("parts > 1").select("sig", F.col("main.component").alias("main")), "sig").filter("component <> main")
+    minor = rows.filter("may").join(main.filter("parts > 1").select("sig", F.col("main.component").alias("main")), "sig").filter("component <> main")
     cost = F.sum(F.lit(1) + F.col("sig").bitwiseAND(1))
     return minor.groupBy("cls").agg(cost.alias("cost"), F.first("slack").alias("slack")).filter("slack >= 0 AND 2 * cost > slack").select("cls")
 
