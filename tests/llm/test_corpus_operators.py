@@ -220,7 +220,7 @@ def test_large_buckets_and_passed_over_segments(spark):
 
 # ---- 6
 def test_katz(spark, docs, nothing, corpus):
-    for settings in (katz.Settings(), katz.Settings(vocabulary=40, local=25, cutoff=1), katz.Settings(vocabulary=100, local=10, cutoff=0)):
+    for settings in (katz.Settings(), katz.Settings(local=25), katz.Settings(local=0)):
         out = katz.score_texts(docs, settings=settings).collect()
         train = [zlib.crc32(str(d).encode() if d is not None else b"") % 10 != 0 for d, *_ in corpus]
         want, n = brute.base_scores([(d, t) for d, t, *_ in corpus], train)
@@ -231,56 +231,64 @@ def test_katz(spark, docs, nothing, corpus):
     assert katz.score_texts(nothing).count() == 0
 
 
-def test_katz_backs_off_and_adds_up(spark):
+def plain_discounts(counts):
+    """Worth of counts 1 to 5: counts of counts on a line in logarithms, then taken down as larger counts keep theirs."""
+    of = Counter(counts)
+    x, y = zip(*((math.log(r), math.log(of[r])) for r in range(1, 7) if of[r]))
+    mx, my = sum(x) / len(x), sum(y) / len(y)
+    b = sum((i - mx) * (j - my) for i, j in zip(x, y)) / sum((i - mx) ** 2 for i in x) if len(x) > 1 else -2.0
+    b = min(b, -1.05)
+    floor = 6 ** (b + 1)
+    return lambda c: c - 0.5 if c > 5 else c * ((1 + 1 / c) ** (b + 1) - floor) / (1 - floor)
+
+
+@pytest.mark.parametrize("local", [65_536, 7, 0])
+def test_katz_backs_off_and_adds_up(spark, local):
     """Scores equal a plain recursion; chances after every context add up to 1."""
     rng = random.Random(6)
-    names = [f"w{i}" for i in range(30)]
-    rows = [(i, " ".join(rng.choices(names, weights=range(1, 31), k=40))) for i in range(200)] + [(900, "w1 unseen w2")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    s = katz.Settings(vocabulary=20, local=50)
-    got = {r.doc_id: r.score for r in katz.score_texts(df, settings=s).collect()}
+    names = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choices(names, weights=[j * j for j in range(1, 61)], k=30))) for i in range(150)] + [(900, "w1 unseen w2"), (903, "never met before"), (906, "new york is new york")]
+    # after "new" always comes "york", many times: other words must stay possible there
+    rows += [(1000 + i, "new york") for i in range(30)] + [(i, "new w59") for i in range(2000, 2100) if zlib.crc32(str(i).encode()) % 10 == 0]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in katz.score_texts(df, settings=katz.Settings(local)).collect()}
     train = [t for d, t in rows if zlib.crc32(str(d).encode()) % 10 != 0]
     single = Counter(w for t in train for w in [*t.split(), "</s>"])
-    order = sorted(single, key=lambda w: -single[w])
-    total, once = sum(single.values()), max(1, sum(v == 1 for v in single.values()))
-    vocabulary = set(order[:20])
-    assert single[order[19]] > single[order[20]]  # no tie at the bound
-    unseen = once / (total + once)
-    rare = {w for w in order if w not in vocabulary}
-    p1 = {w: single[w] / total * (1 - unseen) for w in vocabulary} | {None: sum(single[w] for w in rare) / total * (1 - unseen) + unseen}
-    assert abs(sum(p1.values()) - 1) < 1e-12
+    total = sum(single.values())
+    worth = plain_discounts(single.values())
+    p1 = {w: worth(c) / total for w, c in single.items()}
+    unseen = 1 - sum(p1.values())
+    assert 0 < unseen < 0.2
     pairs, seen = Counter(), Counter()
-    number = lambda w: w if w in vocabulary else None
     for t in train:
         h = "<s>"
-        for w in map(number, [*t.split(), "</s>"]):
+        for w in [*t.split(), "</s>"]:
             pairs[h, w] += 1
             seen[h] += 1
             h = w
-    d = katz.discounts(Counter(pairs.values()), 1)
+    worth = plain_discounts(pairs.values())
+    assert all(worth(c) < worth(c + 1) < c + 1 for c in range(1, 9))
     chance, weight = {}, {}
     for h in seen:
-        after = {w: c for (g, w), c in pairs.items() if g == h and c > 1}
-        chance[h] = {w: d[min(c, 6)] * c / seen[h] for w, c in after.items()}
-        left, free = 1 - sum(chance[h].values()), 1 - sum(p1[w] for w in after)
-        if left > 1e-12 and free > 1e-12:
-            weight[h] = left / free
-        else:  # all or nothing is left: seen pairs share everything
-            chance[h] = {w: p / sum(chance[h].values()) for w, p in chance[h].items()}
-            weight[h] = 1e-99
-        assert abs(sum(chance[h].get(w, weight[h] * p1[w]) for w in p1) - 1) < 1e-9
+        chance[h] = {w: worth(c) / seen[h] for (g, w), c in pairs.items() if g == h}
+        weight[h] = (1 - sum(chance[h].values())) / (1 - sum(p1[w] for w in chance[h]))
+        assert weight[h] > 0 and abs(sum(chance[h].get(w, weight[h] * p) for w, p in p1.items()) + weight[h] * unseen - 1) < 1e-9
+    assert set(chance["new"]) == {"york"} and pairs["new", "york"] > 5
     for doc, t in rows:
         h, score = "<s>", 0.0
-        for raw in [*t.split(), "</s>"]:
-            w = number(raw)
-            p = chance.get(h, {}).get(w, weight.get(h, 1.0) * p1[w])
-            if w is None:
-                p *= (single[raw] + 0.1) / (sum(single[x] for x in rare) + 0.1 * (len(rare) + 1))
-            score += math.log10(p)
+        for w in [*t.split(), "</s>"]:
+            score += math.log10(chance.get(h, {}).get(w, weight.get(h, 1.0) * p1.get(w, unseen)))
             h = w
         assert abs(score - got[doc]) < 1e-6, doc
 
 
+def test_katz_discounts_rise():
+    for of in ({1: 100, 2: 40, 3: 5, 4: 60, 5: 1, 6: 9}, {1: 10}, {}, {2: 7, 6: 7}, {r: 10**r for r in range(1, 7)}):
+        d = katz.discounts(of)
+        worth = katz.discounted(np.arange(1, 12), d)
+        assert (np.diff(worth) > 0).all() and (worth > 0).all() and (worth < np.arange(1, 12)).all()
+
+
 # ---- 2
 def labelled(spark, n=400):
     rng = random.Random(9)
@@ -364,25 +372,24 @@ def test_katz_over_all_words_and_pairs(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     train = [t for d, t in rows if zlib.crc32(str(d).encode()) % 10 != 0]
     single = Counter(w for t in train for w in [*t.split(), "</s>"])
-    total, once = sum(single.values()), sum(v == 1 for v in single.values())
-    unseen = once / (total + once)
+    total, worth = sum(single.values()), plain_discounts(single.values())
+    unseen = 1 - sum(worth(c) for c in single.values()) / total
     pairs, seen = Counter(), Counter()
     for t in train:
         for h, w in zip(["<s>", *t.split()], [*t.split(), "</s>"]):
             pairs[h, w] += 1
             seen[h] += 1
-    d = katz.discounts(Counter(pairs.values()), 0)
-    alone = lambda w: single[w] / total * (1 - unseen) if w in single else unseen
+    alone = lambda w: worth(single[w]) / total if w in single else unseen
+    of_pair = plain_discounts(pairs.values())
     weight = {}
     for h in seen:
         after = {w: c for (g, w), c in pairs.items() if g == h}
-        left = 1 - sum(d[min(c, 6)] * c for c in after.values()) / seen[h]
-        weight[h] = left / (1 - sum(alone(w) for w in after)) if left > 1e-12 else 1e-99
+        weight[h] = (1 - sum(map(of_pair, after.values())) / seen[h]) / (1 - sum(alone(w) for w in after))
     want = {}
     for doc, t in rows:
         steps = zip(["<s>", *t.split()], [*t.split(), "</s>"])
-        want[doc] = sum(math.log10(d[min(pairs[h, w], 6)] * pairs[h, w] / seen[h] if (h, w) in pairs else weight.get(h, 1.0) * alone(w)) for h, w in steps)
-    for settings in (None, katz.Settings(local=7, cutoff=0)):
+        want[doc] = sum(math.log10(of_pair(pairs[h, w]) / seen[h] if (h, w) in pairs else weight.get(h, 1.0) * alone(w)) for h, w in steps)
+    for settings in (None, katz.Settings(local=7)):
         got = {r.doc_id: r.score for r in katz.score_texts(df, settings=settings).collect()}
         assert all(abs(got[i] - want[i]) < 1e-6 for i in want), settings
 
