@@ -221,3 +221,44 @@ def test_folds_feed_the_gate(bars):
     folds = trades.folds(bars, 100, least=50)
     chances = gate.jump_probability(volatility.vol_data(bars, volatility.SHORT), folds, "poisson", 5, 100, 50)
     assert gate.gate(chances, 100).groupBy("t").count().filter("count > 1").isEmpty()
+
+
+# ---- fits of all groups together
+def test_fits_by_sums_equal_fits_of_arrays(spark):
+    from tidemark.functions import fits
+
+    rng = np.random.default_rng(9)
+    rows, want = [], {}
+    for g, (a, b, n) in enumerate(((-1.0, 2.0, 400), (0.5, 0.0, 300), (2.0, -1.0, 1000))):
+        x = rng.normal(size=n)
+        y = (rng.random(n) < 1 / (1 + np.exp(-(a + b * x)))).astype(float)
+        want[g] = fitting.logistic_fit(x, y)
+        rows += [(g, float(i), float(j)) for i, j in zip(x, y)]
+    df = spark.createDataFrame(rows + [(0, None, 1.0), (1, 2.0, None), (2, float("nan"), 0.0)], "g int, x double, y double").repartition(4)
+    got = {r.g: (r.w0, r.w1) for r in fits.logistic_fits(df, ["g"], "x", "y").collect()}
+    assert set(got) == set(want) and all(got[g] == pytest.approx(want[g], abs=1e-6) for g in want)
+    z = {"heavy": rng.standard_t(4, 4000) / math.sqrt(2), "light": rng.normal(size=3000), "mid": rng.standard_t(10, 5000) / math.sqrt(10 / 8)}
+    df = spark.createDataFrame([(g, float(v)) for g, x in z.items() for v in x], "g string, z double")
+    got = {r.g: r.nu for r in fits.student_freedom(df, ["g"], "z").collect()}
+    for g, x in z.items():
+        assert got[g] == pytest.approx(fitting.fit_nu(x), abs=2e-3 if g != "light" else 0.05)
+
+
+def test_halflife_is_chosen_by_fold(spark, bars):
+    from tidemark.functions.recurrences import ewma_variance
+    from tidemark.operators import models
+
+    c = volatility.SHORT
+    data = volatility.vol_data(bars, c).cache()
+    folds = spark.createDataFrame([("a", 0, 300, 360), ("a", 1, 360, 420), ("a", 2, 200, 210)], "series_id string, fold int, a long, b long")
+    got = {(r.fold, r.t): r.log_variance for r in models.ewma_by_fold(data, folds, c).collect()}
+    pdf = data.toPandas().sort_values("t")
+    for fold, a, b in ((0, 300, 360), (1, 360, 420), (2, 200, 210)):
+        fit = ((pdf.t >= c.warmup) & (pdf.t < a - c.h - 1) & pdf.target.notna() & (pdf.realised > 0)).to_numpy()
+        tried = []
+        for hl in models.HALFLIVES:
+            f = np.log(np.maximum(ewma_variance(pdf.r.to_numpy(), hl), pdf.floor.to_numpy()))
+            x = pdf.realised.to_numpy()[fit] / np.exp(f[fit])
+            tried.append((np.mean(x - np.log(x) - 1) if fit.any() else 0.0, f))
+        best = min(tried, key=lambda v: v[0])[1]
+        assert all(got[fold, t] == pytest.approx(best[t], abs=1e-9) for t in range(a, b))

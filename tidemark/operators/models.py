@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import windows as W
-from tidemark.functions.fitting import NORMAL, fit_garch, fit_hawkes, fit_nu, garch_horizon, logistic_fit, student_logpdf, student_ppf
-from tidemark.functions.recurrences import ewma_variance, garch_variance, hawkes_probability, rolling_tail, tail_of_sorted
+from tidemark.functions.fitting import NORMAL, fit_garch, fit_hawkes, fit_nu, garch_horizon, student_logpdf, student_ppf
+from tidemark.functions.fits import logistic_fits
+from tidemark.functions.recurrences import along_series, ewma_variance, garch_variance, hawkes_probability, rolling_tail, tail_of_sorted, with_ewma
 
 from .analogue import neighbours
 from .volatility import FLOOR, VolConfig, engine_of
@@ -97,24 +98,32 @@ def bias_correct(forecasts: DataFrame, c: VolConfig) -> DataFrame:
     return forecasts.filter("t >= a").join(shift, keys, "left").withColumn("log_variance", F.col("log_variance") + F.coalesce("shift", F.lit(0.0))).drop("shift")
 
 
-def _ewma_garch(c: VolConfig, halflives: tuple[float, ...]):
+def ewma_by_fold(data: DataFrame, bounds: DataFrame, c: VolConfig, halflives: tuple[float, ...] = HALFLIVES) -> DataFrame:
+    """series_id, fold, t, log_variance by the half-life with the least mean QLIKE on each fold's fit rows (the first of
+    equal ones, and where there are none).
+
+    A half-life's variances do not depend on folds: they are made once a series, and folds add up losses."""
+    names = [f"v{i}" for i in range(len(halflives))]
+    made = along_series(
+        data.select("series_id", "t", "r", "floor", "target", "realised"), dict.fromkeys(names, "double"),
+        lambda p: {n: np.log(np.maximum(ewma_variance(p["r"].to_numpy(float), hl), p["floor"].to_numpy(float))) for n, hl in zip(names, halflives, strict=True)},
+    )
+    fit = with_folds(made, bounds).filter((F.col("t") >= c.warmup) & (F.col("t") < F.col("a") - c.h - 1) & F.col("target").isNotNull() & (F.col("realised") > 0))
+    loss = lambda n: F.avg(F.col("realised") / F.exp(n) - F.log(F.col("realised") / F.exp(n)) - 1)
+    tried = fit.groupBy("series_id", "fold").agg(F.array(*(F.struct(loss(n).alias("loss"), F.lit(i).alias("i")) for i, n in enumerate(names))).alias("tried"))
+    chosen = tried.select("series_id", "fold", F.array_min("tried")["i"].alias("i"))
+    out = with_folds(made, bounds).filter("t >= a").join(chosen, ["series_id", "fold"], "left")
+    return out.select("series_id", "fold", "t", F.array(*names)[F.coalesce("i", F.lit(0))].alias("log_variance"))
+
+
+def _garch(c: VolConfig):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
-        r, floor, target, realised = (pdf[x].to_numpy(float) for x in ("r", "floor", "target", "realised"))
-        t, a = pdf["t"].to_numpy(), int(pdf["a"].iloc[0])
-        fit = fit_rows(t, a, c) & np.isfinite(target) & (realised > 0)
-        tried = []
-        for hl in halflives:
-            f = np.log(np.maximum(ewma_variance(r, hl), floor))
-            x = realised[fit] / np.exp(f[fit])
-            tried.append((float(np.mean(x - np.log(x) - 1)) if fit.any() else np.inf, f))
-        ewma = min(tried, key=lambda v: v[0])[1]
+        r, floor, t, a = pdf["r"].to_numpy(float), pdf["floor"].to_numpy(float), pdf["t"].to_numpy(), int(pdf["a"].iloc[0])
         g = fit_garch(r[fit_rows(t, a, c)])
         nxt, _ = garch_variance(r, g[0], g[1], g[2], g[3])
-        garch = np.log(np.maximum(garch_horizon(nxt, g, c.h), floor))
         out = t >= a
-        base = {"series_id": pdf["series_id"].to_numpy()[out], "fold": pdf["fold"].to_numpy()[out], "t": t[out]}
-        return pd.concat([pd.DataFrame({**base, "model": name, "log_variance": f[out]}) for name, f in (("EWMA", ewma), ("GARCH", garch))])
+        return pd.DataFrame({"series_id": pdf["series_id"].to_numpy()[out], "fold": pdf["fold"].to_numpy()[out], "t": t[out], "model": "GARCH", "log_variance": np.log(np.maximum(garch_horizon(nxt, g, c.h), floor))[out]})
 
     return run
 
@@ -128,7 +137,8 @@ def walk_forward(data: DataFrame, analogue: DataFrame, bounds: DataFrame, c: Vol
     ``analogue`` (series_id, t, log_variance) does not depend on folds and is made once. The last three are
     corrected for bias on each fold's fit rows, the average after averaging.
     """
-    simple = with_folds(data.select("series_id", "t", "r", "floor", "target", "realised"), bounds).groupBy("series_id", "fold").applyInPandas(_ewma_garch(c, halflives), FORECASTS)
+    garch = with_folds(data.select("series_id", "t", "r", "floor"), bounds).groupBy("series_id", "fold").applyInPandas(_garch(c), FORECASTS)
+    simple = ewma_by_fold(data, bounds, c, halflives).select("series_id", "fold", "t", F.lit("EWMA").alias("model"), "log_variance").unionByName(garch)
     har = har_forecast(data, bounds, c)
     ana = with_folds(data.select("series_id", "t", "target").join(analogue.select("series_id", "t", "log_variance"), ["series_id", "t"]), bounds).select("series_id", "fold", "t", "a", "log_variance", "target")
     both = har.join(ana.select("series_id", "fold", "t", F.col("log_variance").alias("other")), ["series_id", "fold", "t"]).withColumn("log_variance", (F.col("log_variance") + F.col("other")) / 2).drop("other")
@@ -158,27 +168,24 @@ TAILS = "series_id string, fold int, t long, model string, p double"
 def tail_forecasts(data: DataFrame, analogue: DataFrame, bounds: DataFrame, c: VolConfig, halflife: float = 20.0, window: int = 100) -> DataFrame:
     """Chances of a jump within h bars by five models, clipped to [.01, .99]."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def hawkes(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
-        t, a = pdf["t"].to_numpy(), int(pdf["a"].iloc[0])
-        tail, event, r = pdf["tail"].to_numpy(float), pdf["jump"].to_numpy(bool), pdf["r"].to_numpy(float)
-        fit = fit_rows(t, a, c) & np.isfinite(tail)
-        rate = pd.Series(event.astype(float)).rolling(window).mean().to_numpy()
-        x = np.log(np.maximum(ewma_variance(r, halflife), 1e-300)) - np.log(pdf["long"].to_numpy(float))
-        w0, w1 = logistic_fit(x[fit], tail[fit]) if fit.any() else (0.0, 0.0)
-        made = {
-            "Constant": np.full(len(t), tail[fit].mean() if fit.any() else np.nan),
-            "Poisson": 1 - np.exp(-c.h * rate),
-            "Hawkes": hawkes_probability(event, *fit_hawkes(event[(t >= c.warmup) & (t < a)]), c.h),
-            "Logistic-EWMA": 1 / (1 + np.exp(-np.clip(w0 + w1 * x, -30, 30))),
-            "Analogue": pdf["tail_probability"].to_numpy(float),
-        }
-        out = t >= a
-        base = {"series_id": pdf["series_id"].to_numpy()[out], "fold": pdf["fold"].to_numpy()[out], "t": t[out]}
-        return pd.concat([pd.DataFrame({**base, "model": n, "p": np.clip(p[out], 0.01, 0.99)}) for n, p in made.items()])
-
-    rows = data.select("series_id", "t", "r", "long", "jump", "tail").join(analogue.select("series_id", "t", "tail_probability"), ["series_id", "t"], "left")
-    return with_folds(rows, bounds).groupBy("series_id", "fold").applyInPandas(run, TAILS)
+        t, a, event = pdf["t"].to_numpy(), int(pdf["a"].iloc[0]), pdf["jump"].to_numpy(bool)
+        p = hawkes_probability(event, *fit_hawkes(event[(t >= c.warmup) & (t < a)]), c.h)
+        return pdf[["series_id", "fold", "t"]].assign(model="Hawkes", p=p)[t >= a]
+
+    x = with_ewma(data.select("series_id", "t", "r", "long", "jump", "tail"), halflife, "_s")
+    x = x.withColumn("x", F.log(F.greatest(F.col("_s") * F.col("_s"), F.lit(1e-300))) - F.log("long")).withColumn("Poisson", W.poisson_probability(F.col("jump"), c.h, window))
+    x = x.join(analogue.select("series_id", "t", F.col("tail_probability").alias("Analogue")), ["series_id", "t"], "left")
+    rows = with_folds(x, bounds)
+    fit = rows.filter((F.col("t") >= c.warmup) & (F.col("t") < F.col("a") - c.h - 1) & F.col("tail").isNotNull())
+    fitted = fit.groupBy("series_id", "fold").agg(F.avg("tail").alias("Constant")).join(logistic_fits(fit, ["series_id", "fold"], "x", "tail"), ["series_id", "fold"], "left")
+    z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.coalesce("w0", F.lit(0.0)) + F.coalesce("w1", F.lit(0.0)) * F.col("x")))
+    out = rows.filter("t >= a").join(fitted, ["series_id", "fold"], "left").withColumn("Logistic-EWMA", 1 / (1 + F.exp(-z)))
+    long = out.unpivot(["series_id", "fold", "t"], ["Constant", "Poisson", "Logistic-EWMA", "Analogue"], "model", "p")
+    exciting = with_folds(data.select("series_id", "t", "jump"), bounds).groupBy("series_id", "fold").applyInPandas(hawkes, TAILS)
+    clipped = F.when(F.col("p").isNotNull() & ~F.isnan("p"), F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.col("p"))))
+    return long.unionByName(exciting).withColumn("p", clipped)
 
 
 VAR = "series_id string, fold int, t long, model string, var double, es double"

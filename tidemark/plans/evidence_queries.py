@@ -10,6 +10,7 @@ from pyspark.sql import Window
 
 from tidemark.functions import dependence as D
 from tidemark.functions import distributions as P
+from tidemark.functions import fits as N
 from tidemark.functions import resampling as S
 from tidemark.functions import windows as W
 from tidemark.operators import analogue as A
@@ -221,3 +222,43 @@ def sign_tests(spark, d):
     s = _balances(spark, d).groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("x") > 0).cast("long")).alias("wins"))
     return s.withColumn("p", P.sign_test(F.col("wins"), F.col("n"))).select("region", "n", "wins", *six("p"))
 
+
+
+# ---- fits of all groups together
+def newton_sql(source: str, rounds: int) -> str:
+    """Logistic fits of source(g, x, y), a step a table."""
+    out = f"w0_ AS (SELECT g, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM {source} GROUP BY 1)"
+    for i in range(rounds):
+        out += f""",
+n{i} AS (SELECT s.g, any_value(w.a) AS a, any_value(w.b) AS b, sum(y - p) AS g0, sum((y - p) * x) AS g1, sum(p * (1 - p)) + 1e-9::DOUBLE AS h0, sum(p * (1 - p) * x) AS h1, sum(p * (1 - p) * x * x) + 1e-9::DOUBLE AS h2
+  FROM (SELECT s.*, 1 / (1 + exp(-(w.a + w.b * s.x))) AS p FROM {source} s JOIN w{i}_ w ON s.g = w.g) s JOIN w{i}_ w ON s.g = w.g GROUP BY 1),
+w{i + 1}_ AS (SELECT g, a + (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1) AS a, b + (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1) AS b FROM n{i})"""
+    return out
+
+
+@query(f"""WITH src AS (SELECT l_linenumber AS g, CAST(l_discount * 10 + l_quantity / 50 AS DOUBLE) AS x, CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y FROM lineitem), {newton_sql('src', 8)}
+  SELECT g, round(a, 6) AS w0, round(b, 6) AS w1 FROM w8_""")
+def logistic_fits(spark, d):
+    x = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_linenumber").alias("g"), (F.col("l_discount") * 10 + F.col("l_quantity") / 50).alias("x"), (F.col("l_returnflag") == "R").cast("double").alias("y"))
+    return N.logistic_fits(x, ["g"], "x", "y").select("g", *six("w0", "w1"))
+
+
+def narrowing_sql(source: str, rounds: int, points: int) -> str:
+    """Degrees of freedom of source(series_id, zz), a grid a table."""
+    out = f"b0 AS (SELECT series_id, {N.LEAST}::DOUBLE AS lo, {N.MOST}::DOUBLE AS hi FROM {source} GROUP BY 1)"
+    for i in range(rounds):
+        out += f""",
+c{i} AS (SELECT *, lo + (hi - lo) * i / {points - 1} AS nu FROM b{i}, range(0, {points}) r(i)),
+e{i} AS (SELECT c.series_id, c.i, any_value(lo) AS lo, any_value(hi) AS hi, count(*) * (lgamma((any_value(nu) + 1) / 2) - lgamma(any_value(nu) / 2) - 0.5::DOUBLE * ln((any_value(nu) - 2) * pi())) - (any_value(nu) + 1) / 2 * sum(ln(1 + zz / (nu - 2))) AS ll FROM c{i} c JOIN {source} s ON s.series_id = c.series_id GROUP BY 1, 2),
+b{i + 1} AS (SELECT series_id, any_value(lo) + (any_value(hi) - any_value(lo)) / {points - 1} * greatest(arg_max(i, ll) - 1, 0) AS lo, any_value(lo) + (any_value(hi) - any_value(lo)) / {points - 1} * least(arg_max(i, ll) + 1, {points - 1}) AS hi FROM e{i} GROUP BY 1)"""
+    return out
+
+
+@query(f"""WITH {T.DAILY}, {T.RETURNS}, m AS (SELECT series_id, avg(r) AS m, stddev_samp(r) AS sd FROM rets GROUP BY 1), src AS (SELECT series_id, pow((r - m) / sd, 2) AS zz FROM rets JOIN m USING (series_id)), {narrowing_sql('src', 12, 9)}
+  SELECT series_id, round((lo + hi) / 2, 3) AS nu FROM b12""")
+def student_fits(spark, d):
+    """How heavy the tails of daily moves are."""
+    x = T.daily(spark, d).withColumn("r", W.log_return(F.col("close")))
+    m = x.groupBy("series_id").agg(F.avg("r").alias("m"), F.stddev_samp("r").alias("sd"))
+    z = x.join(m, "series_id").withColumn("z", (F.col("r") - F.col("m")) / F.col("sd"))
+    return N.student_freedom(z, ["series_id"], "z").select("series_id", F.round("nu", 3).alias("nu"))
