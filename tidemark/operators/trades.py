@@ -280,9 +280,31 @@ def overlay(data: DataFrame, fit_end: int, warmup: int, cap: float, band: float,
 
 
 def match_trades(theirs: DataFrame, ours: DataFrame, tolerance: float) -> DataFrame:
-    """Full outer join on entry time and direction: side (both, theirs, ours) and which prices agree."""
-    a = theirs.select("entry_time", "dir", F.col("entry_price").alias("their_entry"), F.col("exit_price").alias("their_exit"), F.lit(1).alias("_a"))
-    b = ours.select("entry_time", "dir", F.col("entry_price").alias("our_entry"), F.col("exit_price").alias("our_exit"), F.lit(1).alias("_b"))
+    """Full outer join on entry time and direction: side (both, theirs, ours), whether the exit is the same bar, and which
+    prices agree. Times of exits are compared where both lists have them."""
+    timed = "exit_time" in theirs.columns and "exit_time" in ours.columns
+    leave = [F.col("exit_time")] if timed else [F.lit(None).cast("timestamp").alias("exit_time")]
+    a = theirs.select("entry_time", "dir", F.col("entry_price").alias("their_entry"), F.col("exit_price").alias("their_exit"), *(x.alias("their_time") for x in leave), F.lit(1).alias("_a"))
+    b = ours.select("entry_time", "dir", F.col("entry_price").alias("our_entry"), F.col("exit_price").alias("our_exit"), *(x.alias("our_time") for x in leave), F.lit(1).alias("_b"))
     near = lambda x, y: F.abs(F.col(x) / F.col(y) - 1) <= tolerance
     side = F.when(F.col("_a").isNull(), "ours").when(F.col("_b").isNull(), "theirs").otherwise("both")
-    return a.join(b, ["entry_time", "dir"], "full_outer").select("entry_time", "dir", side.alias("side"), near("their_entry", "our_entry").alias("entry_agrees"), near("their_exit", "our_exit").alias("exit_agrees"))
+    return a.join(b, ["entry_time", "dir"], "full_outer").select(
+        "entry_time", "dir", side.alias("side"), (F.col("their_time") == F.col("our_time")).alias("same_exit"), near("their_entry", "our_entry").alias("entry_agrees"), near("their_exit", "our_exit").alias("exit_agrees")
+    )
+
+
+def match_report(theirs: DataFrame, ours: DataFrame, tolerance: float = 1e-4) -> DataFrame:
+    """One row: numbers of trades (ours within their span), matched ones, and the shares that agree; and unmatched
+    ones of either side, by anti joins. Shares are NULL without matches."""
+    span = theirs.agg(F.min("entry_time").alias("_lo"), F.max("entry_time").alias("_hi"))
+    inside = ours.join(F.broadcast(span), (F.col("entry_time") >= F.col("_lo")) & (F.col("entry_time") <= F.col("_hi"))).drop("_lo", "_hi")  # one row is broadcast
+    met = match_trades(theirs, inside, tolerance).filter("side = 'both'")
+    keys = ["entry_time", "dir"]
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    share = lambda c: F.avg(F.coalesce(F.col(c), F.lit(False)).cast("double")).alias(c)
+    parts = [count(theirs, "theirs"), count(inside, "ours"), met.agg(F.count(F.lit(1)).alias("matched"), share("same_exit"), share("entry_agrees"), share("exit_agrees"))]
+    parts += [count(theirs.join(inside, keys, "left_anti"), "only_theirs"), count(inside.join(theirs, keys, "left_anti"), "only_ours")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.crossJoin(F.broadcast(p))  # a row each
+    return out.withColumn("match_rate", F.col("matched") / F.greatest("theirs", F.lit(1)))

@@ -17,6 +17,7 @@ from tidemark.functions import recurrences as R
 from tidemark.functions import resampling as S
 from tidemark.functions import windows as W
 from tidemark.operators import reports as Q
+from tidemark.operators import trades as TR
 from tidemark.sources import bars as SB
 
 from . import tables as T
@@ -367,3 +368,38 @@ def time_frames(spark, d):
     ic = L.spearman(x.filter("x IS NOT NULL AND y IS NOT NULL"), ["series_id"], "x", "y")
     return bars.groupBy("series_id").agg(F.count(F.lit(1)).alias("bars")).join(ic, "series_id").select(F.col("series_id").alias("frame"), "bars", *six("ic"))
 
+
+
+# ---- lists of trades
+TRADES = """raw AS (SELECT o_orderkey AS trade, CASE WHEN o_orderstatus = 'F' THEN 'long' ELSE 'short' END AS way, CAST(o_orderdate AS TIMESTAMP) - INTERVAL 2 HOUR AS utc, o_totalprice AS p, o_custkey FROM orders),
+one AS (SELECT trade, CASE way WHEN 'long' THEN 1 ELSE -1 END AS dir, utc + INTERVAL 1 SECOND * trade AS entry_time, p AS entry_price, utc + INTERVAL 1 SECOND * trade + INTERVAL 5 HOUR AS exit_time, p * 1.01::DOUBLE AS exit_price FROM raw WHERE trade % 7 <> 0),
+own AS (SELECT CASE WHEN way = 'long' THEN 1 ELSE -1 END AS dir, utc + INTERVAL 1 SECOND * trade AS entry_time, CASE WHEN o_custkey % 5 = 0 THEN 1.01::DOUBLE ELSE 1.00001::DOUBLE END * p AS entry_price, utc + INTERVAL 1 SECOND * trade + CASE WHEN o_custkey % 3 = 0 THEN INTERVAL 6 HOUR ELSE INTERVAL 5 HOUR END AS exit_time, p * 1.01::DOUBLE AS exit_price FROM raw WHERE trade % 4 <> 0)"""
+
+
+def _trades(spark, d):
+    """A list of entries and exits, two rows a trade and some without an exit, and the trades it is compared with."""
+    o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("trade"), F.when(F.col("o_orderstatus") == "F", "long").otherwise("short").alias("way"), (F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey")).alias("s"), F.col("o_totalprice").alias("p"), "o_custkey")
+    enter = o.select("trade", F.concat(F.lit("Entry "), "way").alias("type"), F.timestamp_seconds("s").alias("at"), F.col("p").alias("price"))
+    leave = o.filter("trade % 7 <> 0").select("trade", F.concat(F.lit("Exit "), "way").alias("type"), F.timestamp_seconds(F.col("s") + 5 * 3600).alias("at"), (F.col("p") * 1.01).alias("price"))
+    theirs = SB.trade_list(enter.unionByName(leave), "+02:00")
+    moved = F.col("p") * F.when(F.col("o_custkey") % 5 == 0, 1.01).otherwise(1.00001)
+    hours = F.when(F.col("o_custkey") % 3 == 0, 6).otherwise(5)
+    at = F.col("s") - 2 * 3600
+    ours = o.filter("trade % 4 <> 0").select(F.when(F.col("way") == "long", 1).otherwise(-1).cast("tinyint").alias("dir"), F.timestamp_seconds(at).alias("entry_time"), moved.alias("entry_price"), F.timestamp_seconds(at + hours * 3600).alias("exit_time"), (F.col("p") * 1.01).alias("exit_price"))
+    return theirs, ours
+
+
+@query(f"WITH {TRADES} SELECT trade, CAST(dir AS TINYINT) AS dir, strftime(entry_time, '%Y-%m-%d %H:%M:%S') AS entered, strftime(exit_time, '%Y-%m-%d %H:%M:%S') AS left_at, round(entry_price, 6) AS entry_price, round(exit_price, 6) AS exit_price FROM one")
+def trade_list(spark, d):
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return _trades(spark, d)[0].select("trade", "dir", text("entry_time").alias("entered"), text("exit_time").alias("left_at"), *six("entry_price", "exit_price"))
+
+
+@query(f"""WITH {TRADES}, w AS (SELECT min(entry_time) AS lo, max(entry_time) AS hi FROM one), ins AS (SELECT own.* FROM own, w WHERE entry_time BETWEEN lo AND hi),
+  m AS (SELECT one.exit_time = ins.exit_time AS e, abs(one.entry_price / ins.entry_price - 1) <= 0.0001 AS a, abs(one.exit_price / ins.exit_price - 1) <= 0.0001 AS x FROM one JOIN ins ON one.entry_time = ins.entry_time AND one.dir = ins.dir)
+  SELECT (SELECT count(*) FROM one) AS theirs, (SELECT count(*) FROM ins) AS ours, count(*) AS matched, round(avg(CASE WHEN e THEN 1.0 ELSE 0.0 END), 6) AS same_exit, round(avg(CASE WHEN a THEN 1.0 ELSE 0.0 END), 6) AS entry_agrees, round(avg(CASE WHEN x THEN 1.0 ELSE 0.0 END), 6) AS exit_agrees,
+  (SELECT count(*) FROM one WHERE NOT EXISTS (SELECT 1 FROM ins WHERE ins.entry_time = one.entry_time AND ins.dir = one.dir)) AS only_theirs, (SELECT count(*) FROM ins WHERE NOT EXISTS (SELECT 1 FROM one WHERE ins.entry_time = one.entry_time AND ins.dir = one.dir)) AS only_ours,
+  round(count(*) / (SELECT count(*) FROM one), 6) AS match_rate FROM m""")
+def trade_match_report(spark, d):
+    out = TR.match_report(*_trades(spark, d))
+    return out.select("theirs", "ours", "matched", *six("same_exit", "entry_agrees", "exit_agrees"), "only_theirs", "only_ours", *six("match_rate"))

@@ -84,6 +84,15 @@ def pinned(bars: DataFrame, ends: DataFrame) -> DataFrame:
     return bars.join(ends, "series_id", "left").withColumn("_last", last).filter(F.when(F.col("end").isNotNull(), F.col("ts") <= F.col("end")).otherwise(F.col("ts") < F.col("_last"))).drop("_last", "end")
 
 
+def verified(bars: DataFrame, pins: DataFrame) -> DataFrame:
+    """series_id, rows_agree and sha_agree of every pinned series: does it still hold the rows that were pinned?
+
+    pins(series_id, n_rows, sha256), as ``digest`` gives them; a series that is gone agrees in nothing."""
+    now = digest(bars).withColumnsRenamed({"n_rows": "_n", "sha256": "_sha"})
+    same = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False))
+    return pins.join(now, "series_id", "left").select("series_id", same("n_rows", "_n").alias("rows_agree"), same("sha256", "_sha").alias("sha_agree"))
+
+
 def digest(bars: DataFrame) -> DataFrame:
     """series_id, n_rows and a SHA-256 over its rows: of the sorted digests of days, so no series is one string."""
     line = F.concat_ws(",", F.col("ts").cast("string"), *(F.format_string("%.10g", F.col(c)) for c in (*PRICES, "volume")))
@@ -92,7 +101,7 @@ def digest(bars: DataFrame) -> DataFrame:
 
 
 def read_bars(spark: SparkSession, path: str) -> DataFrame:
-    """CSV (also compressed) with a header, in the BARS schema; lines that do not start with a digit are dropped."""
+    """CSV (also compressed) with a header, in the BARS schema; rows whose time cannot be read are dropped."""
     return numbered(spark.read.schema(BARS).option("header", True).csv(path).filter(F.col("ts").isNotNull()))
 
 
@@ -106,13 +115,29 @@ def long_enough(bars: DataFrame, least: int) -> DataFrame:
     return bars.join(bars.groupBy("series_id").count().filter(F.col("count") >= least).select("series_id"), "series_id", "left_semi")
 
 
+def column_like(columns: list[str], *words: str) -> str:
+    """The first column whose name holds all the words, whatever its case."""
+    for c in columns:
+        if all(w in c.lower() for w in words):
+            return c
+    raise ValueError(f"no column with {' and '.join(words)} among {columns}")
+
+
+def read_trades(spark: SparkSession, path: str, tz: str = "UTC") -> DataFrame:
+    """A trade list from CSV whose column names only have to hold the words trade, type, date and price."""
+    raw = spark.read.option("header", True).csv(path)
+    names = {"trade": "trade", "type": "type", "at": "date", "price": "price"}
+    picked = [F.col(f"`{column_like(raw.columns, word)}`").alias(name) for name, word in names.items()]
+    return trade_list(raw.select(*picked).withColumns({"at": F.expr("try_cast(at AS timestamp)"), "price": F.expr("try_cast(price AS double)")}), tz)
+
+
 def trade_list(raw: DataFrame, tz: str) -> DataFrame:
     """A trade list's two rows a trade (entry and exit) as one: trade, dir, entry and exit time and price.
 
-    raw: trade, type, signal, at (local time), price. The exit is missing for open trades.
+    raw: trade, type, at (local time), price. Open trades, which have no exit, are left out.
     """
     side = F.lower("type")
     rows = raw.withColumn("utc", F.to_utc_timestamp("at", tz))
     entry = rows.filter(side.startswith("entry")).select("trade", F.when(side.contains("long"), 1).otherwise(-1).cast("tinyint").alias("dir"), F.col("utc").alias("entry_time"), F.col("price").alias("entry_price"))
     leave = rows.filter(side.startswith("exit")).select("trade", F.col("utc").alias("exit_time"), F.col("price").alias("exit_price"))
-    return entry.join(leave, "trade", "left")
+    return entry.join(leave, "trade").filter("exit_time IS NOT NULL")
