@@ -5,6 +5,10 @@ every window of as many words as the template has, wherever it starts. A unit is
 anything but letters and digits become one space) and compared with those templates whose size allows the
 threshold: Dice of sets of a and b bigrams is at most 2 min(a, b) / (a + b). A text is passed over at once if it
 does not hold enough of any template's bigrams, wherever they are: a match needs t b / (2 - t) of them.
+
+Licences with other duties differ in a few words. A unit only matches a template if it holds all of the template's
+telling bigrams: those with a number, those of a licence's name, and what only one licence of a family says. Of a
+text's matches the one that shares most bigrams decides, so a whole text counts more than a paragraph of it.
 """
 
 from __future__ import annotations
@@ -33,6 +37,23 @@ TEMPLATES: dict[str, list[str]] = {
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     ],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ],
+    "LGPL-2.1": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "LGPL-3.0": ["This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "AGPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
+    "CC0-1.0": [
+        "Licensed under CC0 1.0.",
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
+    ],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    "CC-BY-NC-SA-4.0": ["Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
+    "CC-BY-NC-ND-4.0": ["Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
@@ -43,7 +64,8 @@ TEMPLATES: dict[str, list[str]] = {
     ],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
+    # the first paragraph of every BSD licence: which clauses follow, it does not tell
+    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 
@@ -56,6 +78,16 @@ PARAGRAPHS: dict[str, list[str]] = {
 }
 
 
+#: Names of licences, and what only one licence of a family says. A template that holds one of these
+#: phrases is only matched by units that hold it as well.
+TELLING = [
+    "mit license", "apache license", "gnu general public license", "gnu lesser general public license", "gnu affero general public license", "mozilla public license", "eclipse public license",
+    "creative commons attribution", "attribution sharealike", "attribution noncommercial", "attribution noderivatives", "noncommercial sharealike", "noncommercial noderivatives", "neither the name", "with or without fee", "public domain",
+]
+#: Numbers of longer templates (of sections, and so on) only tell within their title.
+NOTICE, TITLE = 64, 16
+
+
 def known_templates() -> dict[str, list[str]]:
     """Notices, paragraphs and the whole texts of ``licence_texts``, by licence. Read on the driver."""
     out = {name: [*texts, *PARAGRAPHS.get(name, [])] for name, texts in TEMPLATES.items()}
@@ -77,6 +109,18 @@ def bigrams(unit: str) -> set[tuple[str, str]]:
     return set(zip(words, words[1:], strict=False))
 
 
+def telling(template: str) -> set[tuple[str, str]]:
+    """The bigrams that a unit must hold to match the template."""
+    words = words_of(template)
+    pairs = list(zip(words, words[1:], strict=False))
+    numbered = {p for p in (pairs if len(words) <= NOTICE else pairs[:TITLE]) if any(c.isdigit() for w in p for c in w)}
+    for phrase in TELLING:
+        own = phrase.split()
+        if any(words[i : i + len(own)] == own for i in range(len(words) - len(own) + 1)):
+            numbered |= set(zip(own, own[1:], strict=False))
+    return numbered
+
+
 def units(text: str) -> Iterator[str]:
     """The whole text, and its paragraphs and lines where they are not the same."""
     yield text
@@ -97,6 +141,7 @@ class Matcher:
             for b in s:
                 self.holds[b].append(i)
         self.known = set(self.holds)
+        self.telling = [telling(t) for texts in templates.values() for t in texts]
         self.words = [len(words_of(t)) for texts in templates.values() for t in texts]
         sizes = [len(s) for _, s in self.sets]
         # 2 min / (a + b) >= t bounds the larger by (2 - t) / t of the smaller
@@ -105,24 +150,24 @@ class Matcher:
         # 2 n / (a + b) >= t with a >= n
         self.needed = [b / self.ratio - 1e-9 for b in sizes]
 
-    def unit(self, unit: str) -> list[tuple[float, str]]:
+    def unit(self, unit: str) -> list[tuple[int, float, str]]:
         if len(unit) < 2 * self.low:
             return []
         own = bigrams(unit)
         if not self.low <= len(own) <= self.high:
             return []
         shared = Counter(i for b in own if b in self.holds for i in self.holds[b])
-        found = ((2 * n / (len(own) + len(self.sets[i][1])), self.sets[i][0]) for i, n in shared.items())
-        return [x for x in found if x[0] >= self.threshold]
+        found = ((n, 2 * n / (len(own) + len(self.sets[i][1])), self.sets[i][0]) for i, n in shared.items() if self.telling[i] <= own)
+        return [x for x in found if x[1] >= self.threshold]
 
-    def windows(self, pairs: list[tuple[str, str]], i: int) -> float:
-        """The best Dice of template i with as many words as it has, at any start; 0 if none shares enough."""
+    def windows(self, pairs: list[tuple[str, str]], i: int) -> tuple[int, float]:
+        """Shared bigrams and Dice of template i with the best run of as many words as it has; 0 if none shares enough."""
         wanted, size = self.sets[i][1], self.words[i] - 1
         if len(pairs) <= size:
             own = set(pairs)
-            return 2 * len(own & wanted) / (len(own) + len(wanted))
+            return (len(own & wanted), 2 * len(own & wanted) / (len(own) + len(wanted))) if self.telling[i] <= own else (0, 0.0)
         inside: Counter = Counter()
-        shared, best = 0, 0.0
+        shared, best = 0, (0, 0.0)
         for at, pair in enumerate(pairs):
             inside[pair] += 1
             shared += inside[pair] == 1 and pair in wanted
@@ -132,12 +177,12 @@ class Matcher:
                 if not inside[old]:
                     del inside[old]
                     shared -= old in wanted
-            if at >= size - 1 and shared >= self.needed[i]:
-                best = max(best, 2 * shared / (len(inside) + len(wanted)))
+            if at >= size - 1 and shared >= self.needed[i] and (shared, 2 * shared / (len(inside) + len(wanted))) > best and all(b in inside for b in self.telling[i]):
+                best = (shared, 2 * shared / (len(inside) + len(wanted)))
         return best
 
     def text(self, text: str | None) -> list[tuple[float, str]]:
-        """Each matched licence once with its best Dice, the best first."""
+        """Each matched licence once with the Dice of its best match, the one that shares most first."""
         words = words_of(text or "")
         pairs = list(zip(words, words[1:], strict=False))
         common = self.known.intersection(pairs)
@@ -145,22 +190,22 @@ class Matcher:
         likely = [i for i, n in counts.items() if n >= self.needed[i]]
         if not likely:
             return []
-        best: dict[str, float] = {}
+        best: dict[str, tuple[int, float]] = {}
         for u in units(text or ""):
-            for dice, name in self.unit(u):
-                best[name] = max(dice, best.get(name, 0.0))
+            for n, dice, name in self.unit(u):
+                best[name] = max((n, dice), best.get(name, (0, 0.0)))
         for i in likely:
-            dice, name = self.windows(pairs, i), self.sets[i][0]
+            (n, dice), name = self.windows(pairs, i), self.sets[i][0]
             if dice >= self.threshold:
-                best[name] = max(dice, best.get(name, 0.0))
-        return sorted(((d, n) for n, d in best.items()), key=lambda x: (-x[0], x[1]))
+                best[name] = max((n, dice), best.get(name, (0, 0.0)))
+        return [(d, name) for name, (_, d) in sorted(best.items(), key=lambda x: (-x[1][0], -x[1][1], x[0]))]
 
 
 def scan(docs: DataFrame, templates: Mapping[str, list[str]] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, licence (the best; null if none), dice and licences (all, the best first) of every row.
 
-    Null and empty texts match nothing; of equal Dice the name that sorts first is the best; repeated rows
-    are scanned each; no rows give no rows; other columns are not read.
+    Null and empty texts match nothing; of equal matches the name that sorts first is the best; a text that is near
+    a template but lacks what tells its licence matches nothing; repeated rows and very long texts are scanned whole; no rows give no rows; other columns are not read.
     """
     given = dict(templates or known_templates())
 
