@@ -326,6 +326,13 @@ def test_toxicity_learns_and_is_exact(spark, docs, nothing):
         near, plain = model.index.nearest(v, 5), brute.cosine_neighbours(vectors, v, 5)
         assert [round(s, 9) for s, _ in near] == [round(s, 9) for s, _ in plain]
     assert toxicity.score_toxicity(nothing, model).count() == 0
+    # ids may be texts, repeat, and texts may be very long or tie
+    named = df.select(F.concat(F.lit("d"), F.col("doc_id")).alias("doc_id"), "text").unionByName(spark.createDataFrame([("long", "foul rotten " + "la mo " * 200_000), *[("again", "vileness foul " * 3)] * 3], "doc_id string, text string"))
+    marks = lab.select(F.concat(F.lit("d"), F.col("doc_id")).alias("doc_id"), "toxic").unionByName(spark.createDataFrame([("again", 1), ("again", 0)], "doc_id string, toxic int"))
+    own = toxicity.fit(named, marks)
+    assert len(own.index.ids) <= own.settings.max_examples and sum(i == "again" for i in own.index.ids) <= 1
+    scored = {r.doc_id: r for r in toxicity.score_toxicity(named, own).select("row.doc_id", "score", "evidence_ids").collect()}
+    assert scored["long"].score >= 0.7 and all(isinstance(i, str) for i in scored["long"].evidence_ids) and scored["again"].score >= 0.7
     empty = toxicity.fit(df, lab.limit(0))
     assert {r["score"] for r in toxicity.score_toxicity(df, empty).select("score").collect()} == {0.0}
 

@@ -131,6 +131,7 @@ class Model:
     steps: np.ndarray
     chances: np.ndarray
     settings: Settings
+    id_type: str = "bigint"
 
     def score(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
         near = self.index.nearest(self.index.vector(text), self.settings.k)
@@ -169,11 +170,15 @@ def fold(id_col: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> Model:
-    """docs(doc_id, text), labels(doc_id, toxic): learns from the labels' rows outside the held-out fold."""
+    """docs(doc_id, text), labels(doc_id, toxic): learns from the labels' rows outside the held-out fold.
+
+    Ids are of any type, the same in both. An id that repeats in docs counts with one of its texts (by a hash), so that
+    the sample never has more rows than ``max_examples``; one that repeats in labels with its largest label."""
     s = settings or Settings()
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & train_row()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.max_examples)
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").persist()
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.max_by(F.coalesce("text", F.lit("")), F.xxhash64("text")).alias("text")).persist()
     try:
         terms = _choose_terms(sample, s)
         index = Index(terms)
@@ -183,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
                 v = [index.vector(t) for t in batch.column(1).to_pylist()]
                 yield pa.record_batch([batch.column(0), batch.column(2), pa.array([list(x) for x in v], pa.list_(pa.int32())), pa.array([list(x.values()) for x in v], pa.list_(pa.float64()))], ["doc_id", "y", "t", "x"])
 
-        rows = sample.select("doc_id", "text", "y").mapInArrow(vectors, "doc_id long, y int, t array<int>, x array<double>").collect()
+        rows = sample.select("doc_id", "text", "y").mapInArrow(vectors, f"doc_id {id_type}, y int, t array<int>, x array<double>").collect()
     finally:
         sample.unpersist()
     examples = sorted(((r["doc_id"], r["y"], dict(zip(r["t"], r["x"], strict=True))) for r in rows), key=lambda r: (r[0], r[1]))
@@ -191,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
     # most of the sample has an empty vector and costs nothing here
     votes = np.array([index.vote(index.nearest(v, s.k, without=i), s.k, s.prior) if v else 0.0 for i, _, v in examples])
     steps, chances = isotonic(votes, np.array([y for _, y, _ in examples], float)) if examples else (np.zeros(1), np.zeros(1))
-    return Model(index, steps, chances, s)
+    return Model(index, steps, chances, s, id_type)
 
 
 def score_toxicity(docs: DataFrame, model: Model, evidence: int = 3) -> DataFrame:
@@ -201,7 +206,11 @@ def score_toxicity(docs: DataFrame, model: Model, evidence: int = 3) -> DataFram
     without neighbours; with no labelled rows every score is 0; repeated rows are scored each; no rows give
     no rows; extra columns stay inside ``row``. Whole texts are read.
     """
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
+
     spark = docs.sparkSession
+    ids_type = to_arrow_type(_parse_datatype_string(model.id_type))
     shared = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,12 +219,12 @@ def score_toxicity(docs: DataFrame, model: Model, evidence: int = 3) -> DataFram
             found = [m.score(t) for t in batch.column(1).to_pylist()]
             near = [n[:evidence] for _, n in found]
             yield pa.record_batch(
-                [batch.column(0), pa.array([p for p, _ in found], pa.float64()), pa.array([[m.index.ids[i] for _, i in n] for n in near], pa.list_(pa.int64())), pa.array([[s for s, _ in n] for n in near], pa.list_(pa.float64()))],
+                [batch.column(0), pa.array([p for p, _ in found], pa.float64()), pa.array([[m.index.ids[i] for _, i in n] for n in near], pa.list_(ids_type)), pa.array([[s for s, _ in n] for n in near], pa.list_(pa.float64()))],
                 ["row", "score", "evidence_ids", "evidence_similarity"],
             )
 
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text"))
-    return rows.mapInArrow(score, f"row {rows.schema['row'].dataType.simpleString()}, score double, evidence_ids array<long>, evidence_similarity array<double>")
+    return rows.mapInArrow(score, f"row {rows.schema['row'].dataType.simpleString()}, score double, evidence_ids array<{model.id_type}>, evidence_similarity array<double>")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
