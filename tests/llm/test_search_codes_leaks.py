@@ -226,3 +226,25 @@ def test_varints_round_trip():
     data, size = blockmax.varints(values)
     assert blockmax.from_varints(data).tolist() == values.tolist() and len(data) == size.sum()
     assert blockmax.from_varints(np.zeros(0, np.uint8)).tolist() == []
+
+
+# ---- 10
+def test_inner_products_of_odd_vectors(spark):
+    """Repeated ids, unequal lengths, ties and components whose products pass 2**53."""
+    from tidemark.llm import maxscore
+
+    rng = np.random.default_rng(3)
+    for scale in (1.0, 3e6):
+        rows = [(i, [float(x) for x in np.round(rng.normal(size=int(rng.integers(1, 6))) * scale, 3)]) for i in range(130)] + [(20, [1.0 * scale, 2.0]), (40, [0.0]), (None, [1.0])]
+        rows += [(200 + i, [scale, scale]) for i in range(5)]  # ties
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+        whole = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None]
+        got = {}
+        for r in maxscore.top_k(df, 7, 20, shard=31, block=2).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+        asked = {i for i, _ in whole if i % 20 == 0}
+        assert set(got) == asked
+        for q in asked - {20}:
+            own = next(v for i, v in whole if i == q)
+            want = sorted(((-sum(a * b for a, b in zip(own, v)), i) for i, v in whole if i != q))[:7]
+            assert [(i, s) for _, i, s in sorted(got[q])] == [(i, -s) for s, i in want]

@@ -9,7 +9,8 @@ traversed in full; the rest are probed, the largest bound first, only for rows t
 Scores that equal the k-th stay in, so ties are settled by vec_id alone.
 
 Shards and blocks of queries have fixed sizes; each pair of a shard and a block of queries is one group, and
-every shard's k best for a query are merged at the end.
+every shard's k best for a query are merged at the end. Blocks are large, as every vector travels once for each.
+Sums are exact: whole numbers in float64 while none can pass 2**53, else Python's own.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ from pyspark.sql import Window
 
 from .shared import Scratch
 
-SHARD, QUERIES = 8192, 256
+SHARD, QUERIES = 8192, 4096
 SCALE = 64
+EXACT, LONGEST = 2**53, 2**63 - 1
 
 
 def shard_topk(ids: np.ndarray, postings: np.ndarray, query_ids: np.ndarray, weights: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -62,8 +64,12 @@ def shard_topk(ids: np.ndarray, postings: np.ndarray, query_ids: np.ndarray, wei
             step = order[place : place + 4]
             score = score + w[step] @ postings[np.ix_(step, alive)] - least[step].sum()
             place += len(step)
-        best = np.lexsort((ids[alive], -score))[:k]
-        yield int(query), ids[alive[best]], (score[best] + base).astype(np.int64)
+        by_id = np.argsort(ids[alive], kind="stable")
+        best = by_id[np.argsort(-score[by_id], kind="stable")][:k]
+        total = score[best] + base
+        if total.dtype == object:  # beyond 64 bits the largest long stands for a score
+            total = np.array([max(-LONGEST - 1, min(LONGEST, int(x))) for x in total], np.int64)
+        yield int(query), ids[alive[best]], total.astype(np.int64)
 
 
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = SHARD, block: int = QUERIES) -> DataFrame:
@@ -92,8 +98,10 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
         is_query = table.column("query").combine_chunks().to_numpy(zero_copy_only=False)
         x = table.column("x").combine_chunks()
         lengths = np.diff(x.offsets.to_numpy())
-        dense = np.zeros((len(ids), terms))
+        most = float(np.abs(x.flatten().to_numpy().astype(float)).max()) if len(x.flatten()) else 0.0
+        dense = np.zeros((len(ids), terms), np.int64 if most * most * terms >= EXACT else float)
         dense[np.repeat(np.arange(len(ids)), lengths), np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = x.flatten().to_numpy()
+        dense = dense.astype(object) if dense.dtype == np.int64 else dense
         out: list[tuple[int, np.ndarray, np.ndarray]] = []
         rows_at, query_at = np.flatnonzero(~is_query), np.flatnonzero(is_query)
         if len(rows_at) and len(query_at):
