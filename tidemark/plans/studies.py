@@ -38,12 +38,15 @@ def e1_direction_skill(spark, d):
 
 
 def volatility_table(losses: DataFrame, models: int, draws: int) -> DataFrame:
-    """QLIKE, its ratio to HAR's, p of the confidence set and of the test against HAR, per series and model."""
+    """QLIKE, its ratio to HAR's, the mean squared error of logs, p of the confidence set and of the test against HAR, per
+    series and model. losses(series_id, t, model, loss, realised, long, log_variance)."""
+    target = F.log(F.greatest(F.col("realised"), V.FLOOR * F.col("long")))
+    logs = losses.groupBy("series_id", "model").agg(F.avg((target - F.col("log_variance")) ** 2).alias("log_mse"))
     chosen = S.confidence_set(losses, models, draws, 20)
     har = losses.filter("model = 'HAR'").groupBy("series_id").agg(F.avg("loss").alias("_har"))
     tested = against_har(losses).select("series_id", "model", "dm", F.col("p").alias("dm_p"))
-    return chosen.join(har, "series_id").join(tested, ["series_id", "model"], "left").select(
-        "series_id", "model", F.col("mean").alias("qlike"), (F.col("mean") / F.col("_har")).alias("ratio"), F.col("p").alias("mcs_p"), F.coalesce("dm", F.lit(0.0)).alias("dm"), F.coalesce("dm_p", F.lit(1.0)).alias("dm_p")
+    return chosen.join(har, "series_id").join(logs, ["series_id", "model"]).join(tested, ["series_id", "model"], "left").select(
+        "series_id", "model", F.col("mean").alias("qlike"), (F.col("mean") / F.col("_har")).alias("ratio"), "log_mse", F.col("p").alias("mcs_p"), F.coalesce("dm", F.lit(0.0)).alias("dm"), F.coalesce("dm_p", F.lit(1.0)).alias("dm_p")
     )
 
 
@@ -54,7 +57,7 @@ def e2_volatility(spark, d):
 
 def _ablation(spark, d, only: tuple[str, ...] | None = None):
     data = T.kept(_data(spark, d))
-    variants = {"base": C, "m=2": C.but(m=2), "no regime": C.but(regime=False), "no exclusion": C.but(exclusion=0), "kernel": C.but(bandwidth=0.6), "recent": C.but(lookback=300)}
+    variants = {"base": C, "m=1": C.but(m=1), "m=2": C.but(m=2), "m=8": C.but(m=8), "no regime": C.but(regime=False), "no exclusion": C.but(exclusion=0), "kernel": C.but(bandwidth=0.6), "recent": C.but(lookback=300)}
     parts = []
     for name, c in variants.items():
         if only and name not in only:
@@ -142,16 +145,22 @@ def e5_overlay(spark, d):
     return _overlay(spark, d)
 
 
+LEVELS = (0.01, 0.025, 0.05)
+
+
 @query()
 def e8_var(spark, d):
-    """Coverage and losses of six value-at-risk models at 5 percent."""
-    alpha = 0.05
-    nxt = _data(spark, d).select("series_id", "t", F.lead("r").over(W.ordered()).alias("y"))
-    made = M.var_forecasts(_data(spark, d), _folds(spark, d), C, alpha, 100).join(nxt, ["series_id", "t"]).filter("y IS NOT NULL AND es < 0")
-    x = M.common_sample(made, "var", 6).withColumn("hit", F.col("y") <= F.col("var"))
-    cover = L.christoffersen(x, "hit", alpha, ["series_id", "model"])
-    loss = x.groupBy("series_id", "model").agg(F.avg(L.tick_loss(F.col("y"), F.col("var"), alpha)).alias("tick"), F.avg(L.fz0_loss(F.col("y"), F.col("var"), F.col("es"), alpha)).alias("fz0"))
-    return cover.join(loss, ["series_id", "model"]).select("series_id", "model", F.col("n").cast("long").alias("n"), (F.col("x") / F.col("n") / alpha).alias("hit_rate"), "lr_uc", "p_cc", "tick", "fz0")
+    """Coverage and losses of six value-at-risk models at three levels, with the confidence set per series and level."""
+    out, keyed = None, None
+    for alpha in LEVELS:
+        x = T.kept(_risk(spark, d, alpha).withColumn("hit", F.col("y") <= F.col("var")))
+        cover = L.christoffersen(x, "hit", alpha, ["series_id", "model"])
+        loss = x.groupBy("series_id", "model").agg(F.avg(L.tick_loss(F.col("y"), F.col("var"), alpha)).alias("tick"), F.avg("loss").alias("fz0"))
+        one = cover.join(loss, ["series_id", "model"]).select("series_id", F.lit(alpha).alias("alpha"), "model", F.col("n").cast("long").alias("n"), (F.col("x") / F.col("n") / alpha).alias("hit_rate"), "p_uc", "p_cc", "tick", "fz0")
+        own = x.select(F.concat("series_id", F.lit(f"|{alpha}")).alias("series_id"), "t", "model", "loss")
+        out, keyed = (one, own) if out is None else (out.unionByName(one), keyed.unionByName(own))
+    chosen = S.confidence_set(keyed, 6, 200, 10).select(F.split_part("series_id", F.lit("|"), F.lit(1)).alias("series_id"), F.split_part("series_id", F.lit("|"), F.lit(2)).cast("double").alias("alpha"), "model", F.col("p").alias("mcs_p"))
+    return out.join(chosen, ["series_id", "alpha", "model"])
 
 
 @query()
