@@ -6,6 +6,8 @@ NumPy arrays with NaN for missing; the frame functions put them on a long frame,
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
 from collections.abc import Callable
 
 import numpy as np
@@ -85,16 +87,33 @@ def sticky_weight(raw: np.ndarray, band: float, start: float = 0.0) -> np.ndarra
 
 
 def expanding_tail(z: np.ndarray, start: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
-    """From ``start`` on: quantile of all finite values so far and the mean of those at or below it."""
-    from bisect import insort
+    """From ``start`` on: quantile of all finite values so far and the mean of those at or below it.
 
+    Values are kept in order; the sum of the lowest ones follows the quantile as it moves, a few places a bar."""
     seen: list[float] = []
+    low, n_low = 0.0, 0  # of the n_low lowest values
     q, es = np.full(len(z), np.nan), np.full(len(z), np.nan)
-    for t in range(start, len(z)):
-        if np.isfinite(z[t]):
-            insort(seen, float(z[t]))
-        if seen:
-            q[t], es[t] = tail_of_sorted(np.array(seen), alpha)
+    for t, x in enumerate(z.tolist()):
+        if t < start:
+            continue
+        if math.isfinite(x):
+            at = bisect_right(seen, x)
+            seen.insert(at, x)
+            if at < n_low:
+                low, n_low = low + x, n_low + 1
+        if not seen:
+            continue
+        place = alpha * (len(seen) - 1)
+        lo = int(place)
+        under, share = seen[lo], place - lo
+        over = seen[min(lo + 1, len(seen) - 1)]
+        q[t] = under + (over - under) * share if share < 0.5 else over - (over - under) * (1 - share)
+        wanted = bisect_right(seen, q[t])
+        while n_low < wanted:
+            low, n_low = low + seen[n_low], n_low + 1
+        while n_low > wanted:
+            low, n_low = low - seen[n_low - 1], n_low - 1
+        es[t] = low / n_low if n_low else q[t]
     return q, es
 
 

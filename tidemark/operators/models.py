@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import windows as W
 from tidemark.functions.fitting import NORMAL, fit_garch, fit_hawkes, fit_nu, garch_horizon, student_logpdf, student_ppf
 from tidemark.functions.fits import logistic_fits
-from tidemark.functions.recurrences import along_series, ewma_variance, garch_variance, hawkes_probability, rolling_tail, tail_of_sorted, with_ewma
+from tidemark.functions.recurrences import along_series, ewma_variance, expanding_tail, garch_variance, hawkes_probability, rolling_tail, with_ewma
 
 from .analogue import neighbours
 from .volatility import FLOOR, VolConfig, engine_of
@@ -212,6 +212,7 @@ def var_forecasts(data: DataFrame, bounds: DataFrame, c: VolConfig, alpha: float
         z = r / np.r_[np.sqrt(g[3]), sd[:-1]]
         out = np.flatnonzero(t >= a)
         hs_q, hs_e = rolling_tail(r, hs_window, alpha) if len(r) >= hs_window else (np.full(len(r), np.nan),) * 2
+        fhs_q, fhs_e = expanding_tail(z, max(1, c.warmup // 2), alpha)
         zn = NORMAL.inv_cdf(alpha)
         es_n = -np.exp(-zn * zn / 2) / np.sqrt(2 * np.pi) / alpha
         nu = fit_nu(z[fit])
@@ -220,7 +221,7 @@ def var_forecasts(data: DataFrame, bounds: DataFrame, c: VolConfig, alpha: float
         es_t = -float(np.exp(student_logpdf(qt, nu))) / alpha * (nu + qt * qt) / (nu - 1) * scale
         made: dict[str, list] = {m: [] for m in ("HS", "GARCH-N", "GARCH-t", "FHS", "Analogue", "Blend")}
         for i in out:
-            fq, fe = tail_of_sorted(np.sort(z[max(1, c.warmup // 2) : i + 1]), alpha)
+            fq, fe = fhs_q[i], fhs_e[i]
             aq = ae = np.nan
             if isinstance(pdf["anchors"].iloc[i], (list, np.ndarray)):
                 j = np.asarray(pdf["anchors"].iloc[i], int)
