@@ -183,14 +183,42 @@ def har_ols_sums(spark, d):
     return rows.groupBy("series_id", "fold").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(h[0] * F.col("target")), 4).alias("x1y"), F.round(F.sum(h[0] * h[1]), 4).alias("x1x2"), F.round(F.sum("target"), 4).alias("y"))
 
 
-@query()
+def solve_sql(p: str, source: str, keep: str, n: int = 4) -> str:
+    """{p}b(keep, b0, ...): the solution of source(keep, a00 ... a33 of the upper triangle, y0 ...) by elimination."""
+    at = lambda i, j: f"a{min(i, j)}{max(i, j)}"
+    out, last = "", source
+    for k in range(n - 1):
+        cells = [f"{at(i, j)} - {at(k, i)} * {at(k, j)} / {at(k, k)} AS {at(i, j)}" for i in range(k + 1, n) for j in range(i, n)] + [f"y{i} - {at(k, i)} * y{k} / {at(k, k)} AS y{i}" for i in range(k + 1, n)]
+        done = [f"{at(i, j)}" for i in range(k + 1) for j in range(i, n)] + [f"y{i}" for i in range(k + 1)]
+        out += f"{p}e{k} AS (SELECT {keep}, {', '.join(done + cells)} FROM {last}), "
+        last = f"{p}e{k}"
+    for i in reversed(range(n)):
+        rest = "".join(f" - {at(i, j)} * b{j}" for j in range(i + 1, n))
+        out += f"{p}s{i} AS (SELECT *, (y{i}{rest}) / {at(i, i)} AS b{i} FROM {last}), "
+        last = f"{p}s{i}"
+    return out + f"{p}b AS (SELECT * FROM {last})"
+
+
+XS = ("1.0::DOUBLE", "h1", "h2", "h3")
+CELLS = [(f"a{i}{j}", f"{XS[i]} * {XS[j]}") for i in range(4) for j in range(i, 4)] + [(f"y{i}", f"{XS[i]} * target") for i in range(4)]
+
+
+@query(f"""WITH RECURSIVE {HAR}, k AS (SELECT h.*, f.fold FROM hv h JOIN fd f USING (series_id) WHERE h.t < f.a - {C.h} - 1 AND h.t >= {C.warmup} AND h.target IS NOT NULL AND h1 + h2 + h3 IS NOT NULL),
+  m AS (SELECT series_id, fold, {", ".join(f"sum({x}) AS {name}" for name, x in CELLS)} FROM k GROUP BY 1, 2), {solve_sql('q', 'm', 'series_id, fold')}
+  SELECT series_id, fold, {", ".join(f"round(b{i}, 5) AS b{i}" for i in range(4))} FROM qb""")
 def har_ols(spark, d):
-    return M.har_coefficients(_data(spark, d), _folds(spark, d), C)
+    return M.har_coefficients(_data(spark, d), _folds(spark, d), C).select("series_id", "fold", *(F.round(f"b{i}", 5).alias(f"b{i}") for i in range(4)))
 
 
-@query()
+SPAN = 200
+
+
+@query(f"""WITH RECURSIVE {HAR}, w AS (SELECT *, h1 + h2 + h3 + target IS NOT NULL AS known FROM hv),
+  r AS (SELECT series_id, t, h1, h2, h3, count(*) FILTER (known) OVER v AS n, {", ".join(f"sum({x}) FILTER (known) OVER v AS {name}" for name, x in CELLS)} FROM w WINDOW v AS ({T.W} ROWS BETWEEN {C.h + SPAN} PRECEDING AND {C.h + 1} PRECEDING)),
+  m AS (SELECT series_id, t, h1, h2, h3, {", ".join(f"{name} + 1e-10::DOUBLE AS {name}" if name in ("a00", "a11", "a22", "a33") else name for name, _ in CELLS)} FROM r WHERE n >= 50 AND h1 + h2 + h3 IS NOT NULL), {solve_sql('q', 'm', 'series_id, t, h1, h2, h3')}
+  SELECT series_id, t, round(b0 + b1 * h1 + b2 * h2 + b3 * h3, 5) AS log_variance FROM qb""")
 def har_rolling(spark, d):
-    return M.rolling_har(_data(spark, d), C, 200)
+    return M.rolling_har(_data(spark, d), C, SPAN).select("series_id", "t", F.round("log_variance", 5).alias("log_variance"))
 
 
 @query(f"""WITH RECURSIVE {T.HOURLY}, {DATA}, {FOLDS}, f AS (SELECT d.series_id, fold, t, a, ln(lv) AS f, target FROM data d JOIN fd USING (series_id) WHERE t < b),
