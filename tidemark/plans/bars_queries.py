@@ -243,10 +243,15 @@ def rolling_tail(spark, d):
 
 
 # ---- the engine
-COUNTS = f"""tr2 AS (SELECT *, lag(state) OVER ({T.W}) AS s_ FROM st),
+def counts_sql(h: int) -> str:
+    """mk(series_id, t, state, counts, pi_high) of st(series_id, t, state)."""
+    return f"""tr2 AS (SELECT *, lag(state) OVER ({T.W}) AS s_ FROM st),
 tc AS (SELECT *, {', '.join(f"CAST(sum(CASE WHEN s_ = {a} AND state = {b} THEN 1 ELSE 0 END) OVER ({T.W}) AS BIGINT) AS c{a}{b}" for a in (0, 1) for b in (0, 1))} FROM tr2),
 tp AS (SELECT *, CASE WHEN c00 + c01 > 0 THEN c01 / (c00 + c01) ELSE 0.0 END AS pa, CASE WHEN c10 + c11 > 0 THEN c10 / (c10 + c11) ELSE 0.0 END AS pb FROM tc),
-mk AS (SELECT series_id, t, state, c00, c01, c10, c11, CASE WHEN pa + pb > 0 THEN pa / (pa + pb) + (state - pa / (pa + pb)) * list_sum(list_transform(range(1, {H + 1}), lambda k: pow(1 - pa - pb, k))) / {H} ELSE CAST(state AS DOUBLE) END AS pi_high FROM tp)"""
+mk AS (SELECT series_id, t, state, c00, c01, c10, c11, CASE WHEN pa + pb > 0 THEN pa / (pa + pb) + (state - pa / (pa + pb)) * list_sum(list_transform(range(1, {h + 1}), lambda k: pow(1 - pa - pb, k))) / {h} ELSE CAST(state AS DOUBLE) END AS pi_high FROM tp)"""
+
+
+COUNTS = counts_sql(H)
 
 
 @query(f"WITH RECURSIVE {T.HOURLY}, {T.RETURNS}, {STATE}, {COUNTS} SELECT series_id, t, c00, c01, c10, c11 FROM mk")
@@ -347,9 +352,16 @@ def analogue_embeddings(spark, d):
 
 
 
-@query()
+@query(f"""WITH st AS (SELECT 'v' AS series_id, vec_id AS t, label % 2 AS state FROM embeddings), {counts_sql(10)},
+  v AS (SELECT vec_id AS t, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e, CAST(label AS DOUBLE) AS y, label % 2 AS s FROM embeddings),
+  c AS (SELECT q.t, o.t AS j, o.y, o.s, list_sum(list_transform(range(1, 65), lambda i: (o.e[i] - q.e[i]) * (o.e[i] - q.e[i]))) AS d FROM v q JOIN v o ON o.t <= q.t - 10 WHERE q.t >= 100),
+  l AS (SELECT t, list(struct_pack(j := j, y := y, s := s, d := d) ORDER BY d, j) AS l FROM c GROUP BY 1),
+  g AS (SELECT t, list_reduce(list_transform(l, lambda x: [x]), lambda a, x: CASE WHEN len(list_filter(a, lambda z: z.s = x[1].s)) < 5 AND len(list_filter(a, lambda z: abs(z.j - x[1].j) < 3)) = 0 THEN list_concat(a, x) ELSE a END) AS got FROM l),
+  p AS (SELECT t, unnest(got, recursive := true) FROM g), gs AS (SELECT t, s, count(*) AS n, avg(y) AS m, coalesce(var_samp(y), 0) AS va FROM p GROUP BY ALL),
+  gw AS (SELECT gs.*, CASE WHEN n >= 2 THEN CASE WHEN s = 1 THEN pi_high ELSE 1 - pi_high END ELSE 0.0 END AS w FROM gs JOIN mk USING (t)), gn AS (SELECT *, sum(w) OVER (PARTITION BY t) AS ws FROM gw)
+  SELECT t, round(sum(w / ws * m), 6) AS mean_0, round(sqrt(sum(w / ws * w / ws * va / n)), 6) AS se_0, CAST(sum(n) AS DOUBLE) AS n_used FROM gn WHERE ws > 0 GROUP BY 1""")
 def analogue_embeddings_all(spark, d):
-    """All vectors, all 64 components and the regime label % 2; without SQL, tested against brute force."""
+    """All vectors, all 64 components and the regime label % 2."""
     df = spark.read.parquet(f"{d}/embeddings.parquet").select(
         F.lit("v").alias("series_id"), F.col("vec_id").alias("t"), F.transform("embedding", lambda x: x.cast("double")).alias("emb"), F.array(F.col("label").cast("double")).alias("y"), (F.col("label") % 2).alias("state")
     )
