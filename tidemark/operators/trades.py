@@ -300,11 +300,12 @@ def match_report(theirs: DataFrame, ours: DataFrame, tolerance: float = 1e-4) ->
     inside = ours.join(F.broadcast(span), (F.col("entry_time") >= F.col("_lo")) & (F.col("entry_time") <= F.col("_hi"))).drop("_lo", "_hi")  # one row is broadcast
     met = match_trades(theirs, inside, tolerance).filter("side = 'both'")
     keys = ["entry_time", "dir"]
-    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    share = lambda c: F.avg(F.coalesce(F.col(c), F.lit(False)).cast("double")).alias(c)
-    parts = [count(theirs, "theirs"), count(inside, "ours"), met.agg(F.count(F.lit(1)).alias("matched"), share("same_exit"), share("entry_agrees"), share("exit_agrees"))]
-    parts += [count(theirs.join(inside, keys, "left_anti"), "only_theirs"), count(inside.join(theirs, keys, "left_anti"), "only_ours")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.crossJoin(F.broadcast(p))  # a row each
+    shares = ["same_exit", "entry_agrees", "exit_agrees"]
+    named = {"theirs": theirs, "ours": inside, "matched": met, "only_theirs": theirs.join(inside, keys, "left_anti"), "only_ours": inside.join(theirs, keys, "left_anti")}
+    marks = None
+    for name, df in named.items():
+        one = df.select(F.lit(name).alias("what"), *((F.coalesce(F.col(c), F.lit(False)).cast("double") if df is met else F.lit(None).cast("double")).alias(c) for c in shares))
+        marks = one if marks is None else marks.unionByName(one)
+    count = lambda name: F.count(F.when(F.col("what") == name, 1)).alias(name)
+    out = marks.agg(count("theirs"), count("ours"), count("matched"), *(F.avg(c).alias(c) for c in shares), count("only_theirs"), count("only_ours"))
     return out.withColumn("match_rate", F.col("matched") / F.greatest("theirs", F.lit(1)))
