@@ -24,7 +24,7 @@ _LOWER = np.arange(256, dtype=np.int64)
 _LOWER[65:91] += 32
 _TABLE = np.random.default_rng(20240229).integers(0, 2**64, PLACES * 256, dtype=np.uint64)
 #: Bytes of text that are worked on at a time (at least one text).
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
