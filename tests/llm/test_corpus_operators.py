@@ -440,3 +440,26 @@ def test_licences_anywhere_in_a_text(spark):
         both = [(len(licences.bigrams(" ".join(p)) & m.sets[0][1]), brute.dice(licences.bigrams(" ".join(p)), m.sets[0][1])) for p in [*parts, words]]
         best = max((x for x in both if x[1] >= 0.5), default=(0, 0.0))[1]
         assert m.text(" ".join(words)) == ([(best, "a")] if best >= 0.5 else [])
+
+
+def test_katz_part_holds_its_pairs_once():
+    """A part's pairs are counted in little more than the memory that they take themselves."""
+    import tracemalloc
+
+    from tidemark.llm import katz
+
+    rng = np.random.default_rng(3)
+    n, each = 400_000, 20_000
+    blocks = lambda: [(t, t % 3 > 0, np.sort(rng.integers(2, 300, each)), rng.integers(2, 5000, each), np.ones(each, np.int32), rng.integers(0, 50, each).astype(np.int32)) for t in range(n // each)]
+    tracemalloc.start()
+    try:
+        own = blocks()
+        held = tracemalloc.get_traced_memory()[0]
+        parts = katz._count_part(own, np.full(5000, 1e-4))
+        del own
+        kinds = [kind for kind, _, _ in parts]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert kinds[0] == katz.COUNTS and katz.SEEN in kinds and held >= 20 * n
+    assert peak < 145 * n
