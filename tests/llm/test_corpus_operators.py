@@ -463,3 +463,40 @@ def test_katz_part_holds_its_pairs_once():
         tracemalloc.stop()
     assert kinds[0] == katz.COUNTS and katz.SEEN in kinds and held >= 20 * n
     assert peak < 145 * n
+
+
+def rows_of_joins(df):
+    """(condition, rows) of every join that the frame ran."""
+    df.collect()
+    out, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if "Join" in name:
+            out.append((node.simpleString(100), node.metrics().get("numOutputRows").get().value()))
+        todo += [node.executedPlan()] if name == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in name else []
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return out
+
+
+def test_sets_without_links_need_no_look_at_each_bucket(spark):
+    from tidemark.llm import jaccard
+    from tidemark.llm.shared import Scratch
+
+    rng = random.Random(4)
+    large = [(i, rng.randint(-1, 30), rng.sample(range(60), rng.randint(3, 25))) for i in range(300)]
+    group = {i: i - i % 5 for i in range(100)}  # the others are alone
+    buckets = {}
+    for i, _, sigs in large:
+        for s in sigs:
+            buckets.setdefault(s, Counter())[group.get(i, i)] += 1
+    main = {s: max((n, c) for c, n in b.items())[1] for s, b in buckets.items()}
+    cost = {i: sum(1 + (s & 1) for s in sigs if main[s] != group.get(i, i)) for i, _, sigs in large}
+    want = {i for i, slack, _ in large if slack >= 0 and 2 * cost[i] > slack}
+    df = spark.createDataFrame(large, "cls long, slack long, sigs array<long>")
+    joined = spark.createDataFrame(list(group.items()), "node long, component long")
+    out = jaccard._asking(df, joined, Scratch(spark, "t"))
+    assert {r.cls for r in out.collect()} == want and 0 < len(want) < 300
+    of_linked = sum(len(sigs) for i, _, sigs in large if i in group)
+    assert sum(n for how, n in rows_of_joins(out) if "sig" in how) <= of_linked

@@ -481,7 +481,7 @@ def _with_component(rows: DataFrame, joined: DataFrame, cls: str = "cls", compon
     return rows.join(names, cls, "left").withColumn(component, F.coalesce(component, cls))
 
 
-def _asking(large: DataFrame, joined: DataFrame) -> DataFrame:
+def _asking(large: DataFrame, joined: DataFrame, scratch: Scratch) -> DataFrame:
     """The sets that have to ask. large: cls, slack and sigs, the large buckets of the set.
 
     Of a bucket's sets, those outside of its largest component are its minor ones; of two sets that are not
@@ -490,13 +490,22 @@ def _asking(large: DataFrame, joined: DataFrame) -> DataFrame:
     would take more than the slack of either.
     """
     # a set whose buckets all together cost no more than half of its slack never has to ask
+    cost = F.lit(1) + F.col("sig").bitwiseAND(1)
     whole = F.aggregate("sigs", F.lit(0).cast("long"), lambda a, sig: a + 1 + sig.bitwiseAND(1))
-    may = (F.col("slack") >= 0) & (2 * whole > F.col("slack"))
-    rows = _with_component(large, joined).select(F.explode("sigs").alias("sig"), "cls", "component", "slack", may.alias("may"))
-    main = rows.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("sig").agg(F.max(F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
-    minor = rows.filter("may").join(main.filter("parts > 1").select("sig", F.col("main.component").alias("main")), "sig").filter("component <> main")
-    cost = F.sum(F.lit(1) + F.col("sig").bitwiseAND(1))
-    return minor.groupBy("cls").agg(cost.alias("cost"), F.first("slack").alias("slack")).filter("slack >= 0 AND 2 * cost > slack").select("cls")
+    named = large.join(joined.select(F.col("node").alias("cls"), "component"), "cls", "left")
+    named = named.select("cls", "slack", "sigs", F.coalesce("component", "cls").alias("component"), F.col("component").isNull().alias("alone"), whole.alias("whole"))
+    may = named.filter("slack >= 0 AND 2 * whole > slack")
+    main = named.select(F.explode("sigs").alias("sig"), "component").groupBy("sig", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = main.groupBy("sig").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("parts"))
+    main = scratch.table(main, "mains")
+    # a set without a link is a component: it is minor in all of its buckets but those that name it, which need no look
+    # at each bucket
+    held = main.groupBy(F.col("main").alias("component")).agg(F.sum(cost).alias("held"))
+    single = may.filter("alone").join(held, "component", "left").select("cls", "slack", (F.col("whole") - F.coalesce("held", F.lit(0))).alias("cost"))
+    linked = may.filter("NOT alone").select(F.explode("sigs").alias("sig"), "cls", "component", "slack")
+    minor = linked.join(main.filter("parts > 1").select("sig", "main"), "sig").filter("component <> main")
+    minor = minor.groupBy("cls").agg(F.first("slack").alias("slack"), F.sum(cost).alias("cost"))
+    return single.unionByName(minor).filter("2 * cost > slack").select("cls")
 
 
 def _common(sets: DataFrame, limits: Limits) -> np.ndarray:
@@ -552,7 +561,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     columns are not read. Whole texts count.
     """
     spark, limits = docs.sparkSession, limits or Limits()
-    scratch = Scratch(spark, "jaccard")
+    scratch = Scratch(spark, "jaccard", small=True)
     docs = docs.select(id_col, text_col)
     bands = _sampled(docs, k, Bands(num, den), text_col, limits)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -576,7 +585,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     pairs = pairs.unionByName(scratch.table(_fitting(more, classes, bands), "pairs-short")).distinct()
     links = scratch.table(_verified(pairs, sets, bands, limits), "links")
     joined = scratch.table(components(links, scratch, "joined"), "joined-at")
-    asking = scratch.table(_asking(large, joined), "asking")
+    asking = scratch.table(_asking(large, joined, scratch), "asking")
     if not asking.isEmpty():
         inside = large.select("cls").join(asking.withColumn("asks", F.lit(True)), "cls", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
         inside = scratch.table(_with_component(inside, joined).join(classes.select("cls", "bits"), "cls"), "inside")
@@ -585,7 +594,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         links = scratch.table(links.unionByName(_verified(met, sets, bands, limits)).distinct(), "links-all")
         scratch.drop("prefixes", "prefixes-met", "pairs-prefix", "asking")
         joined = scratch.table(components(links, scratch, "joined-all"), "joined-at-all")
-    scratch.drop("pairs", "pairs-short", "large", "wanted", "sets", "links")
+    scratch.drop("pairs", "pairs-short", "large", "mains", "wanted", "sets", "links")
     # most sets are alone: only the others need a name
     many = _with_component(classes.select("cls", "n", "least"), joined)
     named = many.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("n").alias("n")).filter("n > 1").drop("n")
