@@ -1,6 +1,7 @@
 import re
 
 import corpus_pipeline
+import pyarrow as pa
 import __spark_entry__ as entry
 from tidemark.llm.shared import Scratch
 
@@ -55,3 +56,32 @@ def test_near_copies_are_dropped_by_row(spark, tmp_path):
         kept = [tuple(r) for r in out.collect()]
         assert out.columns == ["doc_id", "text"] and len(kept) == 4
         assert sum(d == 3 for d, _ in kept) == 1 and {(7, other), (None, "clean text without an id"), (9, None)} < set(kept)
+
+
+def test_rows_go_to_workers_in_small_batches(spark, tmp_path, monkeypatch):
+    """Whole rows of an input partition are not one batch, and carry their text once."""
+    from tidemark.llm import shared
+
+    rows, labels = labelled(spark, 200)
+    spark.createDataFrame([(i, f"{t} " + "z" * 2000) for i, t in rows], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/d.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/d.parquet")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.num_rows])], ["n"])
+
+    counted = lambda df: df.coalesce(1).mapInArrow(sizes, "n long")
+    before = spark.conf.get(shared.BATCH_BYTES)
+    monkeypatch.setattr(shared, "SMALL_BATCH", 16_384)
+    monkeypatch.setattr(corpus_pipeline, "SMALL_BATCH", 16_384)
+    try:
+        got = [r.n for r in shared.Scratch(spark, "t", small=True).table(counted(docs), "n").collect()]
+        assert sum(got) == docs.count() and max(got) <= 10 and spark.conf.get(shared.BATCH_BYTES) == before
+        out = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+        got = [r.n for r in counted(out).collect()]
+        assert sum(got) == out.count() and max(got) <= 10
+        plan = out._jdf.queryExecution().analyzed().toString()
+        assert "score(row#" in plan and "score(row#" + plan.split("score(row#")[1].split(")")[0] + ")" in plan and "text" not in plan.split("score(row#")[1].split(")")[0]
+    finally:
+        spark.conf.set(shared.BATCH_BYTES, before)

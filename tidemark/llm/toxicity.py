@@ -61,7 +61,7 @@ class Index:
         """Unit vector of the text over the vocabulary; empty if it holds none of it."""
         if not text or not self.terms:
             return {}
-        if len(self.memo) > 400_000:
+        if len(self.memo) > 50_000:
             self.memo = {}
         counts: Counter = Counter()
         memo = self.memo
@@ -139,13 +139,18 @@ class Model:
         return float(self.chances[max(0, int(np.searchsorted(self.steps, vote, side="right")) - 1)]), near
 
 
+def _texts(column: pa.Array) -> Iterator[str | None]:
+    """One text at a time: as Python's strings, a batch would be held twice over."""
+    return (x.as_py() for x in column)
+
+
 def _choose_terms(sample: DataFrame, s: Settings) -> dict[str, tuple[int, float]]:
     """The sample is bounded, so are its counts; they are added up in Spark all the same."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen = (Counter(), Counter())
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, y in zip(_texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 seen[y].update({t for w in set(WORD.findall((text or "").lower())) for t in terms_of(w)})
             for y in (0, 1):
                 yield pa.record_batch([pa.array(list(seen[y]), pa.string()), pa.array(np.full(len(seen[y]), y, np.int32)), pa.array(list(seen[y].values()), pa.int64())], ["term", "y", "n"])
@@ -185,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
 
         def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                v = [index.vector(t) for t in batch.column(1).to_pylist()]
+                v = [index.vector(t) for t in _texts(batch.column(1))]
                 yield pa.record_batch([batch.column(0), batch.column(2), pa.array([list(x) for x in v], pa.list_(pa.int32())), pa.array([list(x.values()) for x in v], pa.list_(pa.float64()))], ["doc_id", "y", "t", "x"])
 
         rows = sample.select("doc_id", "text", "y").mapInArrow(vectors, f"doc_id {id_type}, y int, t array<int>, x array<double>").collect()
@@ -216,14 +221,17 @@ def score_toxicity(docs: DataFrame, model: Model, evidence: int = 3) -> DataFram
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            found = [m.score(t) for t in batch.column(1).to_pylist()]
+            row = batch.column(0)
+            found = [m.score(t) for t in _texts(row.field(at))]
             near = [n[:evidence] for _, n in found]
             yield pa.record_batch(
-                [batch.column(0), pa.array([p for p, _ in found], pa.float64()), pa.array([[m.index.ids[i] for _, i in n] for n in near], pa.list_(ids_type)), pa.array([[s for s, _ in n] for n in near], pa.list_(pa.float64()))],
+                [row, pa.array([p for p, _ in found], pa.float64()), pa.array([[m.index.ids[i] for _, i in n] for n in near], pa.list_(ids_type)), pa.array([[s for s, _ in n] for n in near], pa.list_(pa.float64()))],
                 ["row", "score", "evidence_ids", "evidence_similarity"],
             )
 
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text"))
+    # the text goes to the workers once, in its row
+    at = [c.lower() for c in docs.columns].index("text")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     return rows.mapInArrow(score, f"row {rows.schema['row'].dataType.simpleString()}, score double, evidence_ids array<{model.id_type}>, evidence_similarity array<double>")
 
 
