@@ -185,6 +185,29 @@ def test_mixing_equals_plain_budgets(spark, docs, nothing, corpus):
     assert mixing.mix_documents(nothing, mix).count() == 0
 
 
+def test_mixing_writes_leaves_in_few_files(spark, tmp_path):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("one two three").alias("text"), F.lit("en").alias("lang"), F.concat(F.lit("src"), F.col("id") % 80).alias("source"))
+    many = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in many}
+    scratch = Scratch(spark, "few")
+    try:
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        _, plan = mixing.plan_mixture(docs, mixing.Mixture(), scratch)
+        assert plan.count() == 80
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    for name in ("leaves", "shares", "plan"):  # not one for each partition that holds a leaf
+        assert len(scratch.read(name).inputFiles()) <= spark.sparkContext.defaultParallelism, name
+
+
+def test_mixing_counts_words(spark):
+    texts = [None, "", " ", "\t\n\x0b\f\r ", "a", " a", "a ", "\n a\t\tb \r\n", "a\u00a0b \u2003 c", "\x1f\x85 \x00", "$1 \\ x", "日本 語 😀", "w " * 5000, "x" * 30000]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", mixing.word_count(F.col("t")).alias("n")).collect()
+    assert {r.i: r.n for r in got} == {i: None if t is None else len(brute.words(t)) for i, t in enumerate(texts)}
+
+
 # ---- 4
 @pytest.mark.parametrize(("k", "num", "den"), [(4, 85, 100), (5, 80, 100), (2, 60, 100)])
 def test_near_duplicates_equal_brute_force(docs, corpus, k, num, den):

@@ -23,7 +23,8 @@ from pyspark.sql import Window
 
 from .shared import Scratch
 
-WORD = r"[^\x20\x09-\x0D]+"
+SPACES = " \t\n\x0b\f\r"
+WORD = r"[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+"  # with the spaces after it
 KEY_BITS, NARROW_BITS = 52, 8
 LEVELS = ("domain", "lang", "source")
 
@@ -102,6 +103,16 @@ def thresholds(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return last.groupBy(*leaf).agg(F.coalesce(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("key"))), F.shiftleft(F.first("part"), shift) - 1).alias("threshold"))
 
 
+def word_count(text: Column) -> Column:
+    """Runs of other than spaces. Each becomes one letter, so no row has a list of its words: ``regexp_count`` makes one."""
+    return F.length(F.regexp_replace(F.ltrim(text, F.lit(SPACES)), F.lit(WORD), F.lit("x")))
+
+
+def _in_few(by_leaf: DataFrame) -> DataFrame:
+    """Rows by leaf, for writing: a file for each core at most, not one for each shuffle partition that a leaf fell into."""
+    return by_leaf.coalesce(by_leaf.sparkSession.sparkContext.defaultParallelism)
+
+
 def _with_leaf(docs: DataFrame, mix: Mixture, source_col: str, lang_col: str) -> DataFrame:
     known = lambda c: F.coalesce(F.col(c), F.lit("unknown"))
     return docs.withColumns({"domain": mix.domain(known(source_col)), "lang": known(lang_col), "source": known(source_col)})
@@ -111,14 +122,14 @@ def plan_mixture(docs: DataFrame, mix: Mixture, scratch: Scratch, id_col: str =
     """(slim rows, plan): the documents' leaf, id and tokens; each leaf's tokens, share, epochs and threshold."""
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col("lang"), F.col("source"))
     leafed = _with_leaf(named, mix, "source", "lang")
-    slim = scratch.table(leafed.select("id", *LEVELS, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("tokens")), "slim")
-    leaves = scratch.table(slim.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), "leaves")
+    slim = scratch.table(leafed.select("id", *LEVELS, F.coalesce(word_count(F.col("text")), F.lit(0)).cast("long").alias("tokens")), "slim")
+    leaves = scratch.table(_in_few(slim.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))), "leaves")
     total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first()["t"]
     shares = allot(leaves, total * mix.budget_per_mille // 1000, mix)
     whole = F.when(F.col("tokens") > 0, F.expr("share div tokens")).otherwise(F.lit(0))
-    shares = scratch.table(shares.withColumn("epochs", whole).withColumn("rest", F.col("share") - F.col("epochs") * F.col("tokens")), "shares")
+    shares = scratch.table(_in_few(shares.withColumn("epochs", whole).withColumn("rest", F.col("share") - F.col("epochs") * F.col("tokens"))), "shares")
     keyed = scratch.table(slim.join(shares.select(*LEVELS, "epochs", "rest"), list(LEVELS)).withColumn("key", order_key(mix, F.col("epochs"), F.col("id"))), "keyed")
-    plan = scratch.table(shares.join(thresholds(keyed, shares), list(LEVELS), "left").withColumn("threshold", F.coalesce("threshold", F.lit(-1).cast("long"))), "plan")
+    plan = scratch.table(_in_few(shares.join(thresholds(keyed, shares), list(LEVELS), "left").withColumn("threshold", F.coalesce("threshold", F.lit(-1).cast("long")))), "plan")
     return slim, plan
 
 
