@@ -14,7 +14,7 @@ from tidemark.llm.dedup import dedup
 from tidemark.llm.jaccard import near_duplicates
 from tidemark.llm.mixing import Mixture, mix_documents
 from tidemark.llm.packing import pack
-from tidemark.llm.shared import BATCH_BYTES, PLACE, SMALL_BATCH, Scratch, with_place, without_rows
+from tidemark.llm.shared import BATCH_BYTES, FEW_ROWS, PLACE, READ_ROWS, SMALL_BATCH, Scratch, with_place, without_rows
 from tidemark.llm.token_counts import vocabulary
 from tidemark.llm.toxicity import REJECT, fit, score_toxicity
 
@@ -26,9 +26,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the rejection score.
 
     Whole rows go through Python workers here, when what is returned is written: the session's batches are made small,
-    for this stage and those after it.
+    those of the Parquet reader too, for this stage and those after it.
     """
     spark.conf.set(BATCH_BYTES, str(SMALL_BATCH))
+    spark.conf.set(READ_ROWS, str(FEW_ROWS))
     scored = score_toxicity(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return scored.filter(F.col("score") < REJECT).select("row.*")
 

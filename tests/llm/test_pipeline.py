@@ -85,3 +85,45 @@ def test_rows_go_to_workers_in_small_batches(spark, tmp_path, monkeypatch):
         assert "score(row#" in plan and "score(row#" + plan.split("score(row#")[1].split(")")[0] + ")" in plan and "text" not in plan.split("score(row#")[1].split(")")[0]
     finally:
         spark.conf.set(shared.BATCH_BYTES, before)
+
+
+def test_workers_give_back_what_they_freed(spark, monkeypatch):
+    """After each batch and at the end, not only when a worker ends."""
+    from tidemark.llm import shared
+
+    pss = lambda: sum(int(x.split()[1]) for x in open("/proc/self/smaps_rollup") if x.startswith("Pss_Anon:")) >> 10
+
+    def work(batches):
+        for batch in batches:
+            held = [bytes(20_000) for _ in range(8000)]  # 160 MB in small pieces
+            pin = bytes(20_000)
+            del held
+            yield pa.record_batch([pa.array([len(pin)])], ["n"])
+
+    before = pss()
+    batch = pa.record_batch([pa.array([1])], ["n"])
+    assert sum(b.num_rows for b in shared.lean(work)(iter([batch] * 3))) == 3 and pss() < before + 80
+    calls = []
+    monkeypatch.setattr(shared, "give_back", lambda: calls.append(1))
+    list(shared.lean(work)(iter([batch] * 3)))
+    assert len(calls) == 4
+
+
+def test_tables_of_the_driver_need_no_other_workers(spark, tmp_path, monkeypatch):
+    """Workers of createDataFrame over rows would stay beside those of mapInArrow, in every executor."""
+    from pyspark.sql import DataFrameWriter
+
+    made, write = [], DataFrameWriter.parquet
+
+    def seen(self, path, *args, **kw):
+        made.append((path, self._df._jdf.queryExecution().toRdd().toDebugString()))
+        return write(self, path, *args, **kw)
+
+    texts = ["one two three", "one two three", "", None, "four"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/d.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/d.parquet")
+    monkeypatch.setattr(DataFrameWriter, "parquet", seen)
+    assert corpus_pipeline.drop_copies(spark, docs, "").count() == 3
+    assert corpus_pipeline.pack_sequences(spark, docs, "").count() == 5
+    tables = [p for p, _ in made if p.endswith(("batch=-1", "/places"))]
+    assert len(tables) == 2 and not [p for p, lineage in made if "PythonRDD" in lineage and p in tables]

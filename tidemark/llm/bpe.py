@@ -18,6 +18,8 @@ import pyarrow as pa
 from .words import _TABLE, PLACES, mix, text_chunks
 
 NONE = np.iinfo(np.int64).max
+#: Bytes of text that are merged at a time; each takes some hundred bytes on the way.
+CHUNK = 1 << 18
 #: Classes of bytes in runs that are split without the pattern: letters (ASCII, and the lead bytes of U+00C0 to
 #: U+024F, which are all letters but for two), digits, white space, other marks; 9: left to the pattern.
 LETTER, DIGIT, SPACE, MARK, ODD = 0, 1, 2, 3, 9
@@ -224,7 +226,7 @@ class Merger:
         64-bit hash, and what it gives is kept, in two generations of which the older one is let go.
         """
         ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for _, _, data, offsets in text_chunks(texts):
+        for _, _, data, offsets in text_chunks(texts, CHUNK):
             i, c = self.chunk(data, offsets)
             ids.append(i)
             counts.append(c)

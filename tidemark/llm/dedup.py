@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import PLACE, Scratch, lower_ascii, table_path, without_rows
+from .shared import PLACE, READ_ROWS, Scratch, lower_ascii, no_rows, table_path, without_rows
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 FILES_PER_BATCH = 4096
@@ -56,7 +56,7 @@ def stream_state(spark: SparkSession, path: str, scratch: Scratch, id_col: str,
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # small stores would each hold blocks they do not fill
         "spark.sql.streaming.noDataMicroBatches.enabled": "false",
-        "spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions"),
+        **{key: spark.conf.get(key) for key in ("spark.sql.shuffle.partitions", READ_ROWS)},
     }.items():
         session.conf.set(key, value)
     # as a pattern, the path may also be a single file; the stream's reader takes plain paths for folders
@@ -71,7 +71,7 @@ def stream_state(spark: SparkSession, path: str, scratch: Scratch, id_col: str,
     query = state.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", scratch.path("stream")).trigger(availableNow=True).start()
     query.awaitTermination()
     # an empty table has no batch: a table of no rows gives the folder its schema
-    spark.createDataFrame([], state.schema).write.mode("overwrite").parquet(scratch.path("state/batch=-1"))
+    no_rows(spark, state.schema).write.mode("overwrite").parquet(scratch.path("state/batch=-1"))
     return spark.read.schema(state.schema).parquet(scratch.path("state")).groupBy("digest").agg(F.max("n").alias("n"), F.max("keeper").alias("keeper"))
 
 

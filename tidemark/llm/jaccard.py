@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .components import components
-from .shared import Scratch
+from .shared import Scratch, lean
 from .words import distinct_sets, mix, shingles, text_chunks, word_hashes
 
 _U = np.uint64
@@ -209,7 +209,7 @@ def _sampled(docs: DataFrame, k: int, bands: Bands, text_col: str, limits: Limit
                 at = np.searchsorted(r, np.arange(hi - lo + 1)).astype(np.int32)
                 yield pa.record_batch([pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64)))], ["shingles"])
 
-    lists = picked.filter(F.col("h") < bound).select("text").distinct().mapInArrow(read, "shingles array<long>").filter((F.size("shingles") > 0) & (F.size("shingles") <= 10_000)).limit(2 * limits.sample).toArrow().column(0).combine_chunks()
+    lists = picked.filter(F.col("h") < bound).select("text").distinct().mapInArrow(lean(read), "shingles array<long>").filter((F.size("shingles") > 0) & (F.size("shingles") <= 10_000)).limit(2 * limits.sample).toArrow().column(0).combine_chunks()
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
     if not len(lists):
         return bands
@@ -295,7 +295,7 @@ def _index(docs: DataFrame, k: int, bands: Bands, id_col: str, text_col: str, pa
                     yield _record(schema, INDEX, len(at), {"part": pa.array(part[at])} | cells)
 
     ddl = f"kind int, part int, doc_id {docs.schema[id_col].dataType.simpleString()}, size long, cls long, slack long, bits array<long>, shingles array<long>, sig long, a long, b long, low binary, owners binary, common binary"
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(read, ddl)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(read), ddl)
 
 
 def _candidates(indexed: DataFrame, id_type: str, id_arrow: pa.DataType, limits: Limits) -> DataFrame:
@@ -361,7 +361,7 @@ def _candidates(indexed: DataFrame, id_type: str, id_arrow: pa.DataType, limits:
                     x.append(c[i].as_py())
         yield from met(here, *held)
 
-    return indexed.mapInArrow(read, f"kind int, doc_id {id_type}, size long, cls long, slack long, bits array<long>, shingles array<long>, sig long, a long, b long")
+    return indexed.mapInArrow(lean(read), f"kind int, doc_id {id_type}, size long, cls long, slack long, bits array<long>, shingles array<long>, sig long, a long, b long")
 
 
 def _near(size_a: str, bits_a: str, size_b: str, bits_b: str, bands: Bands) -> Column:
@@ -438,7 +438,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, short: DataFrame, k: int, bands: B
                     lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(h.view(np.int64))).take(pa.array(rows))
                     yield pa.record_batch([pa.array(cls[rows]), lists, pa.array(sure[rows]), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64())], names)
 
-        every = docs.select(F.col(text_col).alias("text")).mapInArrow(read, "cls long, shingles array<long>, sure boolean, a long, b long")
+        every = docs.select(F.col(text_col).alias("text")).mapInArrow(lean(read), "cls long, shingles array<long>, sure boolean, a long, b long")
         out = every if out is None else out.unionByName(every)
     if local is None:
         out = out.join(wanted.withColumn("asked", F.lit(True)), "cls", "left").filter("sure OR asked")
@@ -458,7 +458,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, short: DataFrame, k: int, bands: B
                     keep.append(i)
             yield batch.take(pa.array(keep, pa.int64()))
 
-    table = scratch.table(out.repartition(F.coalesce("cls", F.xxhash64("a", "b"))).mapInArrow(once, out.schema), "sets")
+    table = scratch.table(out.repartition(F.coalesce("cls", F.xxhash64("a", "b"))).mapInArrow(lean(once), out.schema), "sets")
     return table.filter("cls IS NOT NULL").select("cls", "shingles"), table.filter("cls IS NULL").select("a", "b")
 
 
@@ -543,7 +543,7 @@ def _by_prefix(sets: DataFrame, bands: Bands, scratch: Scratch, limits: Limits)
             behind = sizes[row[front]] - place[place < _prefix(sizes, bands)[row]]
             yield pa.record_batch([pa.array(flat[front]), *(batch.column(i).take(pa.array(row[front])) for i in (0, 2, 3, 4)), pa.array(sizes[row[front]].astype(np.int64)), pa.array(behind)], ["shingle", "cls", "component", "asks", "bits", "size", "behind"])
 
-    tokens = scratch.table(sets.select("cls", "shingles", "component", "asks", "bits").mapInArrow(read, "shingle long, cls long, component long, asks boolean, bits array<long>, size long, behind long"), "prefixes")
+    tokens = scratch.table(sets.select("cls", "shingles", "component", "asks", "bits").mapInArrow(lean(read), "shingle long, cls long, component long, asks boolean, bits array<long>, size long, behind long"), "prefixes")
     mixed = tokens.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.max("asks").alias("asked")).filter("asked AND least <> most").select("shingle")
     tokens = scratch.table(tokens.join(mixed, "shingle", "left_semi"), "prefixes-met")
     asking = tokens.filter("asks").select("shingle", F.col("cls").alias("c"), F.col("component").alias("other"), F.col("size").alias("size_c"), F.col("bits").alias("bits_c"), F.col("behind").alias("behind_c"))

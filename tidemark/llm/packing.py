@@ -17,10 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .bpe import merger
-from .shared import Scratch, number_within
+from .shared import Scratch, give_back, lean, number_within
 from .token_counts import slices, vocabulary
 
 END = 1
@@ -78,9 +77,10 @@ def pieces(docs: DataFrame, size: int, path: str, pattern: str, id_col: str, tex
                 raw = memoryview(whole.tobytes())
                 crc = [zlib.crc32(raw[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
                 yield pa.record_batch([batch.column(0).take(pa.array(row + lo)), *(pa.array(x, pa.int64()) for x in (start, length, crc, total[row]))], ["id", "start", "length", "ids_crc32", "doc_tokens"])
+                give_back()
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, f"id {id_type}, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(cut), f"id {id_type}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def pack(docs: DataFrame, size: int, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -102,9 +102,10 @@ def pack(docs: DataFrame, size: int, path: str, pattern: str, id_col: str = "doc
             used[length] += n
             offset += length
         first += n
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("length", "rank_from", "rank_to", "first_sequence", "offset")])
-    # its size is bounded by the histogram's, whatever the number of documents
-    places = scratch.table(spark.createDataFrame(rows, schema).coalesce(1), "places")
+    columns = ("length", "rank_from", "rank_to", "first_sequence", "offset")
+    # its size is bounded by the histogram's, whatever the number of documents; from an Arrow table, no Python workers make it
+    table = pa.table({c: pa.array([r[i] for r in rows], pa.int64()) for i, c in enumerate(columns)})
+    places = scratch.table(spark.createDataFrame(table).coalesce(1), "places")
     ranked = number_within(cut, ["length"], ["id", "start", "ids_crc32"], "rank", sum(histogram.values()))
     found = ranked.join(F.broadcast(places), (ranked["length"] == places["length"]) & (ranked["rank"] >= places["rank_from"]) & (ranked["rank"] < places["rank_to"]))
     return found.select("id", "start", ranked["length"], "ids_crc32", "doc_tokens", (F.col("first_sequence") + F.col("rank") - F.col("rank_from")).alias("sequence_id"), "offset")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .bpe import merger
 
 #: Texts whose ids are held at a time.
-TEXTS = 1024
+TEXTS = 256
 
 
 def slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:

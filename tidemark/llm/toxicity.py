@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import lean
+
 WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6)
 REJECT = 0.7
@@ -157,7 +159,7 @@ def _choose_terms(sample: DataFrame, s: Settings) -> dict[str, tuple[int, float]
 
     rows = sample.groupBy("y").count().collect()
     n1, n0 = (sum(r["count"] for r in rows if r["y"] == y) for y in (1, 0))
-    counts = sample.select("text", "y").mapInArrow(count, "term string, y int, n long").groupBy("term").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("b"))
+    counts = sample.select("text", "y").mapInArrow(lean(count), "term string, y int, n long").groupBy("term").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("b"))
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     n = float(n1 + n0)
     chi2 = n * F.pow(a * (n0 - b) - b * (n1 - a), 2) / ((a + b) * (n - a - b) * n1 * n0)
@@ -193,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
                 v = [index.vector(t) for t in _texts(batch.column(1))]
                 yield pa.record_batch([batch.column(0), batch.column(2), pa.array([list(x) for x in v], pa.list_(pa.int32())), pa.array([list(x.values()) for x in v], pa.list_(pa.float64()))], ["doc_id", "y", "t", "x"])
 
-        rows = sample.select("doc_id", "text", "y").mapInArrow(vectors, f"doc_id {id_type}, y int, t array<int>, x array<double>").collect()
+        rows = sample.select("doc_id", "text", "y").mapInArrow(lean(vectors), f"doc_id {id_type}, y int, t array<int>, x array<double>").collect()
     finally:
         sample.unpersist()
     examples = sorted(((r["doc_id"], r["y"], dict(zip(r["t"], r["x"], strict=True))) for r in rows), key=lambda r: (r[0], r[1]))
@@ -232,7 +234,7 @@ def score_toxicity(docs: DataFrame, model: Model, evidence: int = 3) -> DataFram
     # the text goes to the workers once, in its row
     at = [c.lower() for c in docs.columns].index("text")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    return rows.mapInArrow(score, f"row {rows.schema['row'].dataType.simpleString()}, score double, evidence_ids array<{model.id_type}>, evidence_similarity array<double>")
+    return rows.mapInArrow(lean(score), f"row {rows.schema['row'].dataType.simpleString()}, score double, evidence_ids array<{model.id_type}>, evidence_similarity array<double>")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
