@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import dependence, distributions, fitting, quantiles, resampling
+from tidemark.functions import dependence, distributions, fitting, losses, quantiles, resampling
 from tidemark.operators import analogue, gate, trades, volatility
+from tidemark.plans import catalog
 
 from .test_core import SCHEMA, made_bars
 
@@ -262,3 +263,14 @@ def test_halflife_is_chosen_by_fold(spark, bars):
             tried.append((np.mean(x - np.log(x) - 1) if fit.any() else 0.0, f))
         best = min(tried, key=lambda v: v[0])[1]
         assert all(got[fold, t] == pytest.approx(best[t], abs=1e-9) for t in range(a, b))
+
+
+# ---- scores of groups with one outcome only
+def test_area_is_missing_where_all_outcomes_are_the_same(spark, tmp_path):
+    rows = [("none", 0.1, 0.0), ("none", 0.2, 0.0), ("all", 0.1, 1.0), ("both", 0.1, 0.0), ("both", 0.4, 1.0), ("both", 0.4, 0.0)]
+    got = {r.g: r.auc for r in losses.auc(spark.createDataFrame(rows, "g string, p double, y double"), ["g"], "p", "y").collect()}
+    assert got == {"none": None, "all": None, "both": pytest.approx(0.75)}
+    lines = [("O", 1, 0.01, "N"), ("O", 2, 0.02, "N"), ("F", 1, 0.01, "R"), ("F", 2, 0.02, "N")]
+    spark.createDataFrame(lines, "l_linestatus string, l_linenumber int, l_discount double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    areas = {r.g: r.auc for r in catalog.QUERIES["logloss_brier_auc"](spark, str(tmp_path)).collect()}
+    assert areas["F"] == 0.0 and math.isnan(areas["O"])

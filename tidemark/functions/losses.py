@@ -69,12 +69,12 @@ def average_ranks(df: DataFrame, by: list[str], x: str, out: str) -> DataFrame:
 
 
 def auc(df: DataFrame, by: list[str], p: str, y: str) -> DataFrame:
-    """Area under the curve per group from counts of each distinct score."""
+    """Area under the curve per group from counts of each distinct score; NULL where all y are the same."""
     counts = df.groupBy(*by, p).agg(F.sum(y).cast("double").alias("pos"), F.count(F.lit(1)).cast("double").alias("n"))
     w = Window.partitionBy(*by).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
     rank = F.coalesce(F.sum("n").over(w), F.lit(0.0)) + (F.col("n") + 1) / 2
     s = counts.withColumn("ranks", rank * F.col("pos")).groupBy(*by).agg(F.sum("ranks").alias("s"), F.sum("pos").alias("a"), F.sum(F.col("n") - F.col("pos")).alias("b"))
-    return s.select(*by, ((F.col("s") - F.col("a") * (F.col("a") + 1) / 2) / (F.col("a") * F.col("b"))).alias("auc"))
+    return s.select(*by, F.try_divide(F.col("s") - F.col("a") * (F.col("a") + 1) / 2, F.col("a") * F.col("b")).alias("auc"))
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:

@@ -308,7 +308,8 @@ def _py(spark, d):
 def logloss_brier_auc(spark, d):
     df = _py(spark, d)
     means = df.groupBy("g").agg(F.round(F.avg(L.log_loss(F.col("p"), F.col("y"))), 6).alias("log_loss"), F.round(F.avg(L.brier(F.col("p"), F.col("y"))), 6).alias("brier"))
-    return means.join(L.auc(df, ["g"], "p", "y"), "g").select("g", "log_loss", "brier", *six("auc"))
+    areas = L.auc(df, ["g"], "p", "y").select("g", F.coalesce("auc", F.lit(float("nan"))).alias("auc"))  # NaN in SQL
+    return means.join(areas, "g").select("g", "log_loss", "brier", *six("auc"))
 
 
 @query(f"""WITH {T.DAILY}, x AS (SELECT series_id, t, coalesce(close / lag(close) OVER ({T.W}) - 1, 0) AS r FROM bars),
