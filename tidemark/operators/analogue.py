@@ -8,7 +8,7 @@ weigh in by a Gaussian kernel. Regimes are mixed by the expected share of the ho
 
 The self-join is cut into blocks: bars are dealt by ``t div block`` and the history that a block can use is
 sent to it once, so no task holds more than a block of bars and one series' history. Inside a block NumPy
-does the distances and the order-dependent choice.
+does the distances and the order-dependent choice. Wide states are not copied to blocks: see ``tiles``.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from pyspark.sql import Window
 
 from tidemark.functions.windows import markov_high
 
+from . import tiles
+
 UNLIMITED = 1_000_000_000
 #: Exponents beyond this add nothing to a kernel sum.
 CUT = 30.0
@@ -182,6 +184,8 @@ def forecast(df: DataFrame, e: Engine, m: int, p: int, only: DataFrame | None =
     Bars without a forecast are absent. Missing is NULL in emb and y; a bar's own targets are never used.
     only(series_id, t): bars to forecast, where not all are wanted.
     """
+    if only is None and tiles.suits(e, m):
+        return _wide_forecast(df, e, m, p)
     asks, history = _blocks(_mixed(df, e), e, m, p)
     if only is not None:
         asks = asks.join(only, ["series_id", "t"], "left_semi")
@@ -202,6 +206,26 @@ def forecast(df: DataFrame, e: Engine, m: int, p: int, only: DataFrame | None =
     return asks.groupBy("series_id", "block").cogroup(history.groupBy("series_id", "block")).applyInPandas(run, schema)
 
 
+def _wide_forecast(df: DataFrame, e: Engine, m: int, p: int) -> DataFrame:
+    """``forecast`` of wide states: the walks choose from the few candidates that ``tiles`` leaves."""
+    names = [*(f"mean_{i}" for i in range(p)), *(f"se_{i}" for i in range(p)), "n_used", "pi_high"]
+    mixed = _mixed(df.select("series_id", F.col("t").cast("long").alias("t"), "state"), e).select("series_id", "t", "pi_high")
+    groups = 2 if e.regime else 1
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            rows = []
+            for series, t, lists, pi in zip(pdf["series_id"], pdf["t"], pdf["lists"], pdf["pi_high"].to_numpy(float), strict=True):
+                c = np.frombuffer(b"".join(lists), tiles.candidate(p))
+                found = _neighbour_forecast(c["y"], greedy(np.lexsort((c["j"], c["d"])), c["j"], c["g"], groups, e.k, e.exclusion), pi, e)
+                if found is not None:
+                    rows.append((series, t, *found[0], *found[1], found[2], pi))
+            yield pd.DataFrame(rows, columns=["series_id", "t", *names])
+
+    schema = "series_id string, t long, " + ", ".join(f"{n} double" for n in names)
+    return tiles.candidates(df, e, m, p).join(mixed, ["series_id", "t"]).mapInPandas(run, schema)
+
+
 def neighbours(df: DataFrame, e: Engine, m: int, p: int) -> DataFrame:
     """The chosen anchors, one row each: series_id, t, grp, rank (from 1), anchor_t, distance, weight.
 

@@ -346,7 +346,7 @@ def kernel_block_ess(spark, d):
   p AS (SELECT t, unnest(got, recursive := true) FROM g)
   SELECT t, round(avg(y), 6) AS mean_0, round(sqrt(var_samp(y) / count(*)), 6) AS se_0, CAST(count(*) AS DOUBLE) AS n_used FROM p GROUP BY 1""")
 def analogue_embeddings(spark, d):
-    df = spark.read.parquet(f"{d}/embeddings.parquet").select(F.lit("v").alias("series_id"), F.col("vec_id").alias("t"), F.transform("embedding", lambda x: x.cast("double")).alias("emb"), F.array(F.col("label").cast("double")).alias("y"))
+    df = spark.read.parquet(f"{d}/embeddings.parquet").select(F.lit("v").alias("series_id"), F.col("vec_id").alias("t"), F.col("embedding").alias("emb"), F.array(F.col("label").cast("double")).alias("y"))
     made = A.Analogue(k=5, k_min=2, horizon=10, exclusion=3, warmup=100).forecast(df, 64, 1)
     return made.select("t", *six("mean_0", "se_0"), "n_used")
 
@@ -363,7 +363,7 @@ def analogue_embeddings(spark, d):
 def analogue_embeddings_all(spark, d):
     """All vectors, all 64 components and the regime label % 2."""
     df = spark.read.parquet(f"{d}/embeddings.parquet").select(
-        F.lit("v").alias("series_id"), F.col("vec_id").alias("t"), F.transform("embedding", lambda x: x.cast("double")).alias("emb"), F.array(F.col("label").cast("double")).alias("y"), (F.col("label") % 2).alias("state")
+        F.lit("v").alias("series_id"), F.col("vec_id").alias("t"), F.col("embedding").alias("emb"), F.array(F.col("label").cast("double")).alias("y"), (F.col("label") % 2).alias("state")
     )
     made = A.Analogue(k=5, k_min=2, horizon=10, exclusion=3, warmup=100).forecast(df, 64, 1, state="state")
     return made.select("t", *six("mean_0", "se_0"), "n_used")
